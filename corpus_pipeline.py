@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, line dedup, near duplicates, mixing, encoding.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) that returns a DataFrame; run()
+writes what a stage returns as Parquet and hands it to the next.  Labels, which
+teach the first stage, come from sf_dir.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, jaccard, line_dedup, mixing, toxicity
+from quillon.llm.common import table, written
+from quillon.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates in the pipeline: shingles of five words, similarity 0.8.
+WORDS, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under one half."""
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select(*COLUMNS), model, list(COLUMNS)).filter("score < 0.5").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source; all documents stay."""
+    cleaned = line_dedup.clean(docs.select(*COLUMNS))
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the group's least doc_id.
+
+    Documents without words, or without a doc_id, are in no group and stay.
+    """
+    docs = docs.select(*COLUMNS)
+    joined = jaccard.join(docs, WORDS, PERCENT)
+    heads = joined.filter("component_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_head"))
+    gone = written(heads.filter("not _head").select("doc_id"), "pipeline-copies")
+    again = joined.filter("doc_id = component_id").count()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept if again == kept.select("doc_id").count() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, or parts of them, that the mix takes, as often as it takes them."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the token ids of each text, and their number and digests."""
+    return bpe.round_trip(docs.select(*COLUMNS), vocabulary(), with_ids=True, keep=("lang", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+#: Fitted scores, random draws and byte-pair encoding are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

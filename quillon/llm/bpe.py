@@ -339,18 +339,18 @@ def decode(model: Model, ids: list[int]) -> str:
     return "".join(decoder.feed(ids[i : i + 4096]) for i in range(0, len(ids), 4096)) + decoder.finish()
 
 
-def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids) of every document; vocabulary: a tokenizers file that every executor can read."""
+def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids, and string columns kept) of every document; vocabulary: a tokenizers file that every executor can read."""
 
     def make():
         model = model_at(vocabulary)
 
-        def row(doc_id, text):
+        def row(doc_id, text, *rest):
             ids = encode(model, text)
             back = decode(model, ids)
             said = hashlib.sha256(",".join(map(model.names.__getitem__, ids)).encode()).hexdigest()
             out = (doc_id, len(ids), said, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            return (*out, ids) if with_ids else out
+            return (*out, ids, *rest) if with_ids else (*out, *rest)
 
         return row
 
@@ -360,4 +360,6 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False) ->
     if with_ids:
         fields.append(("ids", pa.list_(pa.int32())))
         ddl += ", ids array<int>"
-    return map_rows(documents, ["doc_id", "text"], make, fields, ddl)
+    fields += [(c, pa.string()) for c in keep]
+    ddl += "".join(f", {c} string" for c in keep)
+    return map_rows(documents, ["doc_id", "text", *keep], make, fields, ddl)

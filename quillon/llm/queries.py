@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, bpe, html_text, line_dedup, media, quality, toxicity, warc
+from . import automaton, bpe, html_text, jaccard, line_dedup, media, mixing, quality, toxicity, warc
 from .common import table, written
 
 
@@ -17,6 +17,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_secret_scan, op5_line_quality, op6_media_columns, op7_toxicity, op8_bpe, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_secret_scan, op3_mixing, op4_jaccard_join, op5_line_quality, op6_media_columns, op7_toxicity, op8_bpe, op9_warc, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op5_line_quality": quality.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import tsv_cell
+from .spool import spooled
 
 #: Letters of the operations in a change log.
 INSERT, UPDATE, DELETE = "e", "g", "s"
@@ -56,7 +57,8 @@ def numbered_log(rows: DataFrame, order: list[str], after: int) -> DataFrame:
     """Numbers that go on after the last: ranges are counted first, so that no task numbers the whole log."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written, because range bounds come from a sample and may differ when the plan runs again
+    placed = spooled(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "change-log")
     inner = placed.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_rows"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_rows")

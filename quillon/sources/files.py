@@ -88,7 +88,7 @@ def front_matter(md: str | None) -> tuple[str, str, str] | None:
     return name, _value(lines[1:end], "description") or "", "\n".join(lines[end + 1 :]).strip()
 
 
-@F.pandas_udf("struct<name:string,description:string,body:string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "description", "body")]))
 def front_matter_of(md: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([front_matter(x) or (None, None, None) for x in md], columns=["name", "description", "body"])
 
@@ -125,7 +125,7 @@ def prose(readme: str | None) -> str | None:
     return " ".join(parts)[:300] if parts else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def prose_of(readme: pd.Series) -> pd.Series:
     return readme.map(prose)
 
@@ -141,7 +141,7 @@ def clipped(value, each: int = 2000):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clipped_json(text: pd.Series) -> pd.Series:
     """Nested JSON with long texts cut, 16 KiB at most; what isn't JSON is null."""
 
@@ -155,7 +155,7 @@ def clipped_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def vector_of_blob(blob: pd.Series) -> pd.Series:
     """Little-endian floats; null where there are none or bytes are left over."""
     import numpy as np
@@ -163,7 +163,7 @@ def vector_of_blob(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if not b or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blob_of_vector(vector: pd.Series) -> pd.Series:
     import numpy as np
 

@@ -232,7 +232,7 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         for i in way:
             inside = found[i][2]
             near[i] = last[inside]
-            if first[i] is not None:
+            if first[i] is not None and not (inside and found[i][3]):  # what markup takes out of an article says nothing of its rest
                 last[inside] = (i, first[i])
     out = []
     for i, label in enumerate(first):

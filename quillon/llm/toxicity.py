@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -71,7 +72,7 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
 class Model:
     """Shares of toxic occurrences by prefix and word, the extreme-value parameters and the curve."""
 
-    base: float = 0.0
+    base: float = 0.5
     shares: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
     scale: float = 1.0
@@ -111,7 +112,7 @@ class Model:
         return math.log1p(sum(x[0] for x in self.significant(words)))
 
     def probability(self, statistic: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * statistic + self.level))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * statistic + self.level)))) if self.shares else 0.0
 
 
 def token_model(rows: list[tuple[list[str], int]]) -> Model:
@@ -203,8 +204,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "", r["_toxic"]) for r in texts.toLocalIterator())[:rows]
-    return [(words_of(text), int(toxic > 0)) for _, _, text, toxic in found]
+    found = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "", r["_toxic"]) for r in texts.toLocalIterator(prefetchPartitions=True))[:rows]
+    return [(list(map(sys.intern, words_of(text))), int(toxic > 0)) for _, _, text, toxic in found]
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE
 
 CHUNK = 1 << 16
 LONG_WORD = 128
-CACHED = 1 << 18
+CACHED = 1 << 17
 
 
 def byte_letters() -> dict[str, int]:

@@ -33,9 +33,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows that a Python worker turns into objects at a time.
+ROWS_AT_ONCE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ROWS_AT_ONCE rows, so that what a worker holds beside a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], fn: Callable[..., tuple], schema: pa.Schema, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Calls fn with the named columns' values of each row; its tuples become batches of the schema."""
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
         out = [fn(*row) for row in zip(*columns)]
         if out:

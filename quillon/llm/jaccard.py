@@ -10,18 +10,20 @@ one class.  Two classes link when 100 * intersection >= PERCENT * union.
    set, need being the least overlap that a link leaves possible.  Two linked
    classes share l of these tokens at least (l = SHARED, fewer for tiny sets).
 3. Similar classes are partitioned into groups: within a token's list, classes
-   of like size point to the hub whose own tokens are the most common; each
-   class keeps its best hub, the pair is verified on the whole sets, and the
-   verified pairs, a forest, become groups by pointer jumping.
+   of like size point to the hub whose own tokens are the most common, each
+   class keeps its best hub, and this forest becomes groups by pointer jumping.
+   Its pairs are verified on the whole sets; those that link make the parts of
+   a group, each connected.
 4. The token-group matrix has a row for each token of a group.  Two groups
    are compared only where their rows share enough tokens and their sizes
-   fit.  The smaller group's sets are the queries: a query's overlap with the
-   token union of a chunk of the other group bounds its overlap with every
-   member, and only chunks that qualify are opened and compared exactly.
-5. Links between groups join them into components, by label propagation with
-   pointer jumping over groups.
-
-A group is connected by verified links, so its inner pairs need no expansion;
+   fit; a group of several parts is compared with itself, all but its largest
+   part as queries.  A query's overlap with the token union of a chunk of the
+   other group bounds its overlap with every member, and only chunks that
+   qualify are opened and compared exactly.
+5. Links between parts join them into components, by label propagation with
+   pointer jumping over parts.
+
+A part is connected by verified links, so its inner pairs need no expansion;
 chunks bound what a task holds.  Classes are told apart by 64-bit hashes.
 
 Null and empty texts, and texts of white space, have an empty set, no links and
@@ -40,15 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import slices, written
 
 WORDS = 3
 PERCENT = 90
-HEAVY = 1 << 18
-OFTEN = 16
+HEAVY = 1 << 20
+OFTEN = 4
 SHARED = 6
 CHUNK_TOKENS = 400_000
-QUERIES_AT_ONCE = 256
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -137,7 +138,7 @@ def survey(documents: DataFrame, words: int) -> DataFrame:
                 both, sums = both[top], sums[top]
             return both, sums
 
-        for batch in batches:
+        for batch in slices(batches):
             doc, cid, size = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = shingle(text)
@@ -149,7 +150,7 @@ def survey(documents: DataFrame, words: int) -> DataFrame:
                     seen.add(name)
                     fresh.append(tokens)
                     waiting += len(tokens)
-                    if waiting > 4_000_000:
+                    if waiting > 1_000_000:
                         keys, counts = fold(keys, counts)
                         fresh, waiting = [], 0
             none = pa.nulls(len(doc), pa.int64())
@@ -182,7 +183,7 @@ def postings(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words:
 
     def run(batches):
         shingle, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in slices(batches):
             token, cid, size, common = [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle(text)
@@ -230,7 +231,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, words: int, tag: str) -> Da
 
     def run(batches):
         shingle, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in slices(batches):
             cid, sets = [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle(text)
@@ -250,7 +251,8 @@ def sets_of(documents: DataFrame, wanted: DataFrame, words: int, tag: str) -> Da
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (cid, hub) whose whole sets link."""
-    both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("hub"), F.col("tokens").alias("_other")), "hub").select("cid", "hub", "tokens", "_other")
+    hubs = sets.join(pairs.select(F.col("hub").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("hub"), F.col("tokens").alias("_other"))
+    both = pairs.join(sets, "cid").join(hubs, "hub").select("cid", "hub", "tokens", "_other")
     schema = pa.schema([("cid", pa.int64()), ("hub", pa.int64())])
 
     def run(batches):
@@ -294,48 +296,50 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def opened(candidates: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the groups of candidates (a, b): a's members are queries against the chunks of b that qualify."""
-    sized = groups.join(sets, "cid").select("gid", "cid", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
-    sized = written(sized, "jaccard-members")
+def opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between parts: for candidates (a, b) of groups, members (gid, part, cid, ask) of a are queries against the chunks of b that qualify.
+
+    In a group's comparison with itself only the members marked ask are queries.
+    """
+    sized = written(members.join(sets, "cid").select("gid", "part", "cid", "ask", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n")), "jaccard-members")
     order = W.partitionBy("gid").orderBy("n", "cid").rowsBetween(W.unboundedPreceding, -1)
-    narrow = sized.select("gid", "cid", "n").withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / CHUNK_TOKENS))
+    narrow = sized.select("gid", "cid", "ask", "n").withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / CHUNK_TOKENS))
     narrow = written(narrow, "jaccard-chunks")
     chunks = narrow.groupBy("gid", "chunk").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
-    asks = candidates.join(narrow.select(F.col("gid").alias("a"), "cid", "n"), "a").join(chunks.withColumnRenamed("gid", "b"), "b")
-    asks = asks.filter((100 * F.col("n") >= percent * F.col("_low")) & (100 * F.col("_high") >= percent * F.col("n"))).select("a", "b", "chunk", "cid")
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(16)))
-    parts = asks.select("b", "chunk", "part").distinct()
-    tokens = sized.select("cid", "tokens")
-    members = narrow.select(F.col("gid").alias("b"), "chunk", "cid").join(parts, ["b", "chunk"]).join(tokens, "cid").select("b", "chunk", "part", F.lit(None).cast("bigint").alias("a"), "tokens")
-    queries = asks.join(tokens, "cid").select("b", "chunk", "part", "a", "tokens")
+    asks = candidates.join(narrow.select(F.col("gid").alias("a"), "cid", "ask", "n"), "a").filter("ask or a <> b").join(chunks.withColumnRenamed("gid", "b"), "b")
+    asks = asks.filter((100 * F.col("n") >= percent * F.col("_low")) & (100 * F.col("_high") >= percent * F.col("n"))).select("b", "chunk", "cid")
+    asks = asks.withColumn("share", F.pmod(F.xxhash64("cid"), F.lit(16)))
+    shares = asks.select("b", "chunk", "share").distinct()
+    tokens = sized.select("cid", "part", "tokens")
+    held = narrow.select(F.col("gid").alias("b"), "chunk", "cid").join(shares, ["b", "chunk"]).join(tokens, "cid").select("b", "chunk", "share", F.lit(False).alias("query"), "part", "tokens")
+    queries = asks.join(tokens, "cid").select("b", "chunk", "share", F.lit(True).alias("query"), "part", "tokens")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(key, found):
-        rows = list(zip(found["a"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in found["tokens"])))
-        inside = [t for a, t in rows if a is None]
-        union = np.concatenate(inside)
-        owner = np.repeat(np.arange(len(inside)), [len(t) for t in inside])
+        rows = list(zip(found["query"].to_pylist(), found["part"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in found["tokens"])))
+        inside = [(part, t) for query, part, t in rows if not query]
+        parts = np.array([part for part, _ in inside])
+        union = np.concatenate([t for _, t in inside])
+        owner = np.repeat(np.arange(len(inside)), [len(t) for _, t in inside])
         at = np.argsort(union, kind="stable")
         union, owner = union[at], owner[at]
-        size = np.array([len(t) for t in inside])
+        size = np.array([len(t) for _, t in inside])
         hits = set()
-        for a, query in rows:
-            if a is None or a in hits:
-                continue
-            low, high = np.searchsorted(union, query, "left"), np.searchsorted(union, query, "right")
-            if int((high > low).sum()) < need(len(query), percent):  # the bound over the chunk's token union
+        for query, part, tokens in rows:
+            if not query:
                 continue
+            low, high = np.searchsorted(union, tokens, "left"), np.searchsorted(union, tokens, "right")
             spans = high - low
+            if int((spans > 0).sum()) < need(len(tokens), percent):  # the bound over the chunk's token union
+                continue
             take = np.repeat(low - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(int(spans.sum()))
             common = np.bincount(owner[take], minlength=len(inside))
-            if (100 * common >= percent * (size + len(query) - common)).any():
-                hits.add(a)
-        b = key[0].as_py()
-        return pa.Table.from_pylist([{"a": a, "b": b} for a in sorted(hits)], schema=schema)
+            hit = (100 * common >= percent * (size + len(tokens) - common)) & (parts != part)
+            hits.update((min(part, p), max(part, p)) for p in np.unique(parts[hit]).tolist())
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in sorted(hits)], schema=schema)
 
-    work = members.unionByName(queries)
-    return work.groupBy("b", "chunk", "part").applyInArrow(compare, "a bigint, b bigint").distinct()
+    work = held.unionByName(queries)
+    return work.groupBy("b", "chunk", "share").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -343,40 +347,62 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     surveyed = survey(documents, words)
     docs = surveyed.filter("token is null").select("doc_id", "cid", "n")
     posted = written(postings(documents, heavy_tokens(surveyed), words, percent), "jaccard-postings")
+    enough = lambda *n: F.least(*(F.ceil(F.lit(percent) * F.col(c) / 100) for c in n), F.lit(SHARED))
     # groups: the best hub of each class, among those of like size in its tokens' lists
     band = F.floor(F.log("n") / math.log(100 / percent))
     hub = F.max(F.struct("q", "cid")).over(W.partitionBy("token", "_band"))
-    best = posted.withColumn("_band", band).withColumn("_hub", hub["cid"]).filter("_hub <> cid").groupBy("cid", "_hub").agg(F.count("*").alias("_k"))
-    pairs = written(best.groupBy("cid").agg(F.max(F.struct("_k", "_hub")).alias("_best")).filter("_best._k > 1").select("cid", F.col("_best._hub").alias("hub")), "jaccard-pairs")
+    best = posted.withColumn("_band", band).withColumn("_hub", hub["cid"]).filter("_hub <> cid").groupBy("cid", "n", "_hub").agg(F.count("*").alias("_k"))
+    best = best.filter(F.col("_k") >= enough("n")).groupBy("cid").agg(F.max(F.struct("_k", "_hub")).alias("_best"))
+    pairs = written(best.select("cid", F.col("_best._hub").alias("hub")), "jaccard-pairs")
     sets = sets_of(documents, pairs.select("cid").union(pairs.select("hub")).distinct(), words, "jaccard-sets")
-    forest = roots(verified(pairs, sets, percent), "jaccard-groups")
+    parts = roots(verified(pairs, sets, percent), "jaccard-parts").withColumnRenamed("gid", "part")
+    groups = roots(pairs, "jaccard-groups")
     # the token-group matrix, and the pairs of groups that its rows leave
-    grouped = posted.join(forest, "cid", "left").withColumn("gid", F.coalesce("gid", "cid"))
-    matrix = grouped.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = matrix.withColumn("_groups", F.count("*").over(W.partitionBy("token"))).filter("_groups > 1").drop("_groups")
-    matrix = written(matrix, "jaccard-matrix")
+    grouped = posted.join(groups, "cid", "left").withColumn("gid", F.coalesce("gid", "cid"))
+    rows = grouped.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = written(rows.withColumn("_groups", F.count("*").over(W.partitionBy("token"))).filter("_groups > 1").drop("_groups"), "jaccard-matrix")
     other = matrix.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "low", "high")))
     fit = (F.col("gid") < F.col("gid_b")) & (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
-    least = F.least(*(F.ceil(F.lit(percent) * F.col(c) / 100) for c in ("_low", "_low_b")), F.lit(SHARED))
     shared = matrix.join(other, "token").filter(fit).groupBy("gid", "gid_b").agg(F.count("*").alias("_k"), F.min("low").alias("_low"), F.min("low_b").alias("_low_b"))
-    members = forest.groupBy("gid").agg(F.count("*").alias("_m"))
-    chosen = shared.filter(F.col("_k") >= least).select("gid", "gid_b")
-    chosen = chosen.join(members, "gid", "left").join(members.select(F.col("gid").alias("gid_b"), F.col("_m").alias("_m_b")), "gid_b", "left")
-    swap = F.coalesce("_m", F.lit(0)) > F.coalesce("_m_b", F.lit(0))
-    chosen = written(chosen.select(F.when(swap, F.col("gid_b")).otherwise(F.col("gid")).alias("a"), F.when(swap, F.col("gid")).otherwise(F.col("gid_b")).alias("b")), "jaccard-candidates")
-    touched = chosen.select(F.col("a").alias("gid")).union(chosen.select(F.col("b").alias("gid"))).distinct()
-    inner = written(forest.join(touched, "gid", "left_semi").select("gid", "cid").union(touched.select("gid", F.col("gid").alias("cid"))), "jaccard-touched")
+    chosen = shared.filter(F.col("_k") >= enough("_low", "_low_b")).select("gid", "gid_b")
+    # members of groups with their parts; the largest part of a group asks nothing of its own group
+    all_members = groups.unionByName(groups.select("gid", F.col("gid").alias("cid")).distinct()).join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    sizes = all_members.groupBy("gid", "part").agg(F.count("*").alias("_m"))
+    main = written(sizes.groupBy("gid").agg(F.max(F.struct("_m", "part")).alias("_main"), F.count("*").alias("_parts"), F.sum("_m").alias("_members")), "jaccard-sizes")
+    members = written(all_members.join(main, "gid").select("gid", "part", "cid", (F.col("part") != F.col("_main.part")).alias("ask")), "jaccard-grouped")
+    total = main.select("gid", "_members")
+    chosen = chosen.join(total, "gid", "left").join(total.select(F.col("gid").alias("gid_b"), F.col("_members").alias("_b")), "gid_b", "left")
+    swap = F.coalesce("_members", F.lit(1)) > F.coalesce("_b", F.lit(1))
+    across = chosen.select(F.when(swap, F.col("gid_b")).otherwise(F.col("gid")).alias("a"), F.when(swap, F.col("gid")).otherwise(F.col("gid_b")).alias("b"))
+    within = main.filter("_parts > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    candidates = written(across.unionByName(within), "jaccard-candidates")
+    touched = written(candidates.select(F.col("a").alias("gid")).union(candidates.select(F.col("b").alias("gid"))).distinct(), "jaccard-touched")
+    inner = members.join(touched, "gid", "left_semi")
+    alone = touched.join(main, "gid", "left_anti").select("gid", F.col("gid").alias("part"), F.col("gid").alias("cid"), F.lit(True).alias("ask"))
+    inner = written(inner.unionByName(alone), "jaccard-opened")
     more = sets_of(documents, inner.select("cid"), words, "jaccard-more")
-    links = written(opened(chosen, inner, more, percent), "jaccard-links")
-    top = components(links, "jaccard-components")
+    top = components(written(opened(candidates, inner, more, percent), "jaccard-links"), "jaccard-components")
     # classes, documents
-    of_group = forest.unionByName(top.select(F.col("node").alias("cid"), F.col("node").alias("gid"))).distinct()
-    named = of_group.join(top.withColumnRenamed("node", "gid"), "gid", "left").select("cid", F.coalesce("label", "gid").alias("label"))
-    named = named.unionByName(forest.select(F.col("gid").alias("cid")).distinct().join(top.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))).distinct()
+    named = members.select("cid", "part").unionByName(inner.join(main, "gid", "left_anti").select("cid", "part"))
+    named = named.join(top.withColumnRenamed("node", "part"), "part", "left").select("cid", F.coalesce("label", "part").alias("label"))
     classes = docs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"))
-    known = classes.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    known = written(known, "jaccard-classes")
+    known = written(classes.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "jaccard-classes")
     least_doc = known.groupBy("label").agg(F.min("_first").alias("component_id"), F.sum("_copies").alias("_size")).filter("_size > 1")
     special = written(known.join(least_doc, "label").select("cid", "component_id"), "jaccard-special")
     out = docs.join(special, "cid", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: The same in DuckDB, by all pairs that share a shingle; for small tables only.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS u, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT u, array_to_string(list_slice(ws, i, i + {WORDS - 1}), ' ') AS g FROM (SELECT u, ws, unnest(range(1, greatest(len(ws) - {WORDS - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.u < b.u GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT u, u FROM w UNION SELECT r.u, e.b FROM r JOIN e ON e.a = r.v),
+m AS (SELECT r.u, min(w.doc_id) AS component_id FROM r JOIN w ON w.u = r.v GROUP BY r.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (u) JOIN m USING (u)
+"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, slices, written
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -151,7 +151,7 @@ def write(pages: DataFrame) -> DataFrame:
         def member():
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{n:06d}.warc"]), pa.array([b"".join(pending)], pa.binary())], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, page, *refers in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url"))):
                 row += 1
                 for one in records_of(f"{part}/{row}", page_id, url, (page or "").encode("utf-8", "surrogatepass"), *refers):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sessions
+from ..operators import sessions, spool
 from ..sources import files, tail
 from ..streaming import live
 from .common import read
@@ -51,26 +50,20 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     return files.changed(now, known)
 
 
-def _log_stream(spark: SparkSession, rows: list[tuple], root: str) -> DataFrame:
-    """A folder of one file a row, read as a stream."""
-    for i, row in enumerate(rows):
-        with open(os.path.join(root, f"{i:04d}.json"), "w") as f:
-            f.write(json.dumps(dict(zip(("no", "table_name"), row))) + "\n")
-    return spark.readStream.schema("no bigint, table_name string").option("maxFilesPerTrigger", 1).json(root)
-
-
 def tail_source(spark: SparkSession, d: str) -> DataFrame:
     """Conversations written as transcripts, followed by byte offset to records by kind; a half-written line at the end waits."""
     tail.register(spark)
-    root = tempfile.mkdtemp(prefix="quillon-tail-")
+    shared = spark._jvm.org.apache.hadoop.fs.Path(spool.shared_dir(spark))
+    if shared.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        raise ValueError("the tail source follows files in a mounted folder")
+    root = os.path.join(shared.toUri().getPath(), f"tail-{uuid.uuid4().hex}")
     turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     lines = turns.select(F.to_json(F.struct(F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.lit("2026-01-02T03:04:05Z").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("message"))).alias("value"))
-    with open(os.path.join(root, "all.jsonl"), "w", encoding="utf-8") as f:
-        for row in lines.toLocalIterator():
-            f.write(row["value"] + "\n")
+    lines.write.text(f"file://{root}/log")
+    with open(os.path.join(root, "log", "late.txt"), "w", encoding="utf-8") as f:
         f.write('{"uuid": "half')
     name = "tail_" + os.path.basename(root).replace("-", "_")
-    stream = spark.readStream.format("tail").option("path", root).load()
+    stream = spark.readStream.format("tail").option("path", f"{root}/log").option("suffix", ".txt").load()
     query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(processingTime="1 second").start()
     query.processAllAvailable()
     query.stop()

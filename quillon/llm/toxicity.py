@@ -36,7 +36,7 @@ PRIOR = 6.0
 DRIFT = 1.0
 CAP = 4.0
 FOLDS = 2
-SIGNIFICANT = 0.0
+SIGNIFICANT = 5.0
 REMEMBERED = 1 << 17
 
 WORD = re.compile(r"\w+")

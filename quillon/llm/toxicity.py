@@ -36,7 +36,8 @@ PRIOR = 6.0
 DRIFT = 1.0
 CAP = 4.0
 FOLDS = 2
-SIGNIFICANT = 5.0
+#: Least normalised scores that count as significant; fit() takes the one with the least out-of-fold loss.
+CUTS = (0.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 REMEMBERED = 1 << 17
 
 WORD = re.compile(r"\w+")
@@ -78,6 +79,7 @@ class Model:
     scale: float = 1.0
     slope: float = 0.0
     level: float = -30.0
+    cut: float = 0.0
     cache: dict[str, float] = field(default_factory=dict)
 
     def score_of(self, word: str) -> float:
@@ -102,11 +104,11 @@ class Model:
             out.append(s)
         return out
 
-    def significant(self, words: list[str]) -> list[tuple[float, int, int]]:
-        """Segments whose normalised score, less the logarithm of the text's length, is over SIGNIFICANT."""
-        least = math.log(self.scale * max(1, len(words)))
+    def significant(self, words: list[str], cut: float | None = None) -> list[tuple[float, int, int]]:
+        """Segments whose normalised score, less the logarithm of the text's length, is over the cut."""
+        least, cut = math.log(self.scale * max(1, len(words))), self.cut if cut is None else cut
         found = ((self.rate * s - least, a, b) for s, a, b in segments(self.scores(words)))
-        return [x for x in found if x[0] > SIGNIFICANT]
+        return [x for x in found if x[0] > cut]
 
     def statistic(self, words: list[str]) -> float:
         return math.log1p(sum(x[0] for x in self.significant(words)))
@@ -157,19 +159,9 @@ def token_model(rows: list[tuple[list[str], int]]) -> Model:
     return model
 
 
-def fit(rows: list[tuple[list[str], int]]) -> Model:
-    """The whole model from (words, toxic) rows."""
-    if len({t for _, t in rows}) < 2:
-        return Model()
-    points: list[tuple[float, int]] = []
-    for k in range(FOLDS):
-        rest = [r for i, r in enumerate(rows) if i % FOLDS != k]
-        if len({t for _, t in rest}) == 2:
-            part = token_model(rest)
-            points += [(part.statistic(w), t) for i, (w, t) in enumerate(rows) if i % FOLDS == k]
-    model = token_model(rows)
-    points = points or [(model.statistic(w), t) for w, t in rows]
-    # logistic regression of one variable with a weak ridge, by Newton's steps, halved until they help
+def curve(points: list[tuple[float, int]]) -> tuple[float, float, float]:
+    """(loss, slope, level) of the logistic regression of one variable with a weak ridge: Newton's steps, halved until they help."""
+
     def loss(a, b):
         z = [a * x + b for x, _ in points]
         return sum(max(v, 0) + math.log1p(math.exp(-abs(v))) - v * t for v, (_, t) in zip(z, points)) + 5e-3 * a * a + 5e-4 * b * b
@@ -190,7 +182,23 @@ def fit(rows: list[tuple[list[str], int]]) -> Model:
         if now - new < 1e-7 * now:
             break
         a, b, now = a + step * da, b + step * db, new
-    model.slope, model.level = max(a, 0.0), b
+    return now, max(a, 0.0), b
+
+
+def fit(rows: list[tuple[list[str], int]]) -> Model:
+    """The whole model from (words, toxic) rows."""
+    if len({t for _, t in rows}) < 2:
+        return Model()
+    found: list[tuple[list[float], int]] = []  # positive normalised scores out of fold
+    for k in range(FOLDS):
+        rest = [r for i, r in enumerate(rows) if i % FOLDS != k]
+        if len({t for _, t in rest}) == 2:
+            part = token_model(rest)
+            found += [([x[0] for x in part.significant(w, 0.0)], t) for i, (w, t) in enumerate(rows) if i % FOLDS == k]
+    model = token_model(rows)
+    found = found or [([x[0] for x in model.significant(w, 0.0)], t) for w, t in rows]
+    best = min((*curve([(math.log1p(sum(x for x in xs if x > cut)), t) for xs, t in found]), cut) for cut in CUTS)
+    _, model.slope, model.level, model.cut = best
     model.cache = {}
     return model
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
+import weakref
 from collections.abc import Iterable
 from itertools import chain
 
@@ -41,7 +41,7 @@ PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE
 
 CHUNK = 1 << 16
 LONG_WORD = 128
-CACHED = 1 << 17
+CACHED = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -123,7 +123,7 @@ class Words(dict):
     """Ids of words already met; what is met again soon outlives the others when the table is full."""
 
     def __init__(self, model: Model):
-        self.model, self.old = model, {}
+        self.model, self.old = weakref.proxy(model), {}  # no cycle: a task's tables go when it ends
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word)
@@ -316,14 +316,6 @@ class Decoder:
         return rest
 
 
-def model_at(path: str) -> Model:
-    """The model of a file, read once in each worker process."""
-    known = sys.__dict__.setdefault("_quillon_models", {})
-    if path not in known:
-        known[path] = Model(path)
-    return known[path]
-
-
 def encode(model: Model, text: str | None) -> list[int]:
     if not text:
         return []
@@ -343,7 +335,7 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, ke
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids, and string columns kept) of every document; vocabulary: a tokenizers file that every executor can read."""
 
     def make():
-        model = model_at(vocabulary)
+        model = Model(vocabulary)
 
         def row(doc_id, text, *rest):
             ids = encode(model, text)

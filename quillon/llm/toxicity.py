@@ -38,7 +38,9 @@ CAP = 4.0
 FOLDS = 2
 #: Least normalised scores that count as significant; fit() takes the one with the least out-of-fold loss.
 CUTS = (0.0, 2.0, 3.0, 4.0, 5.0, 6.0)
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
+#: A word is kept beside its prefix only if it moves the logarithm of the share by this much.
+MOVES = 0.05
 
 WORD = re.compile(r"\w+")
 
@@ -135,7 +137,7 @@ def token_model(rows: list[tuple[list[str], int]]) -> Model:
         word = key[1:] if whole else key[:-1]
         prior = next((model.shares[word[:n]] for n in reversed(PREFIXES) if len(word) >= n and word[:n] in model.shares), model.base)
         share = (toxic + PRIOR * prior) / (clean + toxic + PRIOR)
-        if not whole or clean + toxic > 1:
+        if not whole or clean + toxic > 1 and abs(math.log(share / prior)) > MOVES:
             model.shares[key] = max(1e-9, min(1 - 1e-9, share))
     # rate: the positive root of E[exp(rate * score)] = 1 over clean text
     at = Counter()

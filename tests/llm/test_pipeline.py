@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     clean = [d for d, t in labels.items() if not t]
     assert sum(d in ids["toxicity"] for d in clean) >= 0.97 * len(clean)
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    model = bpe.model_at(queries.vocabulary())
+    model = bpe.Model(queries.vocabulary())
     texts = sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect())
     assert sorted(r["decoded_sha256"] for r in final) == texts
     assert all(r["n_tokens"] == len(r["ids"]) for r in final) and bpe.decode(model, final[0]["ids"]) is not None

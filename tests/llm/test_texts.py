@@ -91,7 +91,7 @@ def test_media_round_trip(spark, odd):
 
 @pytest.fixture(scope="module")
 def model():
-    return bpe.model_at(queries.vocabulary())
+    return bpe.Model(queries.vocabulary())
 
 
 @pytest.fixture(scope="module")

@@ -156,7 +156,8 @@ def takes(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = placed.join(broadcast_if_small(buckets.drop("_blocks"), n_buckets), ["k", "_bucket"]).select("uid", "k", "_offset", begin.alias("_begin"), "_end", F.explode(F.sequence(first, last)).alias("_j"))
     low, high = F.greatest("_begin", F.col("_j") * BLOCK), F.least("_end", (F.col("_j") + 1) * BLOCK)
     pieces = pieces.select("uid", "k", (F.col("_offset") + F.col("_j")).alias("block"), (low - F.col("_begin")).alias("begin"), (high - low).alias("words"))
-    return sources.drop("_buckets"), pieces.join(uses, ["k", "block"]).select("uid", "begin", "words", "times")
+    # Spark takes the slots for tiny, as the range of shards is: without the hint it would broadcast a table that grows with the input
+    return sources.drop("_buckets"), pieces.join(uses.hint("merge"), ["k", "block"]).select("uid", "begin", "words", "times")
 
 
 def sized(documents: DataFrame, rows: bool = False) -> DataFrame:

@@ -46,8 +46,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or parts of them, that the mix takes, as often as it takes them."""
-    return mixing.mix(docs.select(*COLUMNS))
+    """The documents, or parts of them, that the mix takes, as often as it takes them.
+
+    Passages that different texts share count once.  They go here and not with the lines of a source, as near duplicates have to be found first.
+    """
+    return mixing.mix(line_dedup.passages_once(docs.select(*COLUMNS)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

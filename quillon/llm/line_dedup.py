@@ -7,6 +7,9 @@ it is, blank lines and order included.
 
 Null texts stay null and have no lines.  A null source is a host of its own.
 Repeated rows count as documents of their own.
+
+passages_once() is for what the ratio can't catch: long lines that few documents
+of a source, or documents of several sources, share.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACE, SPACE_CHARS, broadcast_if_small, written
 from .lines import has_word, line_key, lines_of, text_of, with_common
 
 RATIO = 0.05
 LEAST_DOCUMENTS = 5
+#: Lines of more words than this hardly repeat by chance.
+PASSAGE_WORDS = 50
 
 
 def clean(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -32,6 +38,24 @@ def clean(documents: DataFrame, text: str = "text", host: str = "source") -> Dat
     return both.withColumn("n_dropped", F.col("n_lines") - left).withColumn(text, F.col("_cleaned")).drop("_cleaned", "_common")
 
 
+def passages_once(documents: DataFrame, text: str = "text") -> DataFrame:
+    """documents, all of them, in which no two different texts share a line of over PASSAGE_WORDS words: the text with the least hash keeps it.
+
+    Sources don't matter here.  Equal texts are treated alike, and so are lines equal but for case and spaces.
+    """
+    long = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE}]+", -1)) > PASSAGE_WORDS
+    lines = lines_of(text_of(text))
+    keyed = documents.withColumn("_text", F.xxhash64(text))
+    each = keyed.select("_text", F.explode(F.array_distinct(F.transform(F.filter(lines, long), line_key))).alias("_line"))
+    firsts = each.groupBy("_line").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).filter("_first <> _last")
+    firsts = written(firsts.select("_line", "_first"), "passages")
+    again = each.join(broadcast_if_small(firsts, firsts.count()), "_line").filter("_text <> _first")
+    gone = written(again.groupBy("_text").agg(F.collect_set("_line").alias("_gone")), "passages-gone")
+    stays = F.array_join(F.filter(lines, lambda x: ~(long(x) & F.array_contains("_gone", line_key(x)))), "\n")
+    known = keyed.join(broadcast_if_small(gone, gone.count(), 20_000), "_text", "left")
+    return known.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stays)).select(*documents.columns)
+
+
 #: The same in DuckDB. Lines are compared as texts here, as hashes above.
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce('=' || source, 'null') AS host, text FROM documents),

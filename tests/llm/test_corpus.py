@@ -206,3 +206,17 @@ def test_depleted_documents_go(spark):
         assert r["removed_words"] == lost and r["kept"] == (not r["base_failed"] and 100 * (r["n_words"] - lost) >= quality.KEEP_PERCENT * r["n_words"])
         if 500 <= r["doc_id"] < 540:
             assert not r["kept"]
+
+
+def test_long_passages_stay_in_one_text(spark):
+    long, other = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(50))
+    rows = [(i, f"own {i}\n{long if i % 2 else long.upper()} \n{other}\nend", f"s{i % 3}") for i in range(4)]
+    rows += [(9, f"{rows[0][1]}", "s9"), (10, None, "s"), (11, "", None), (12, f"{long} x\n{long} x", "s")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, source string, _line string").repartition(3)
+    got = line_dedup.passages_once(df)
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert got.columns == df.columns and len(texts) == len(rows) and texts[0] == texts[9]
+    assert len({texts[i] for i in range(4) if "P50" in texts[i].upper()}) == 1
+    assert all(texts[i] in (rows[i][1], f"own {i}\n{other}\nend") for i in range(4))
+    assert (texts[10], texts[11], texts[12]) == (None, "", rows[-1][1])
+    assert line_dedup.passages_once(df.limit(0)).count() == 0

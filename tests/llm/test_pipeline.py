@@ -37,3 +37,11 @@ def test_stages_take_odd_and_empty_tables(spark):
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).count()
+
+
+def test_a_passage_of_two_documents_is_mixed_from_one(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(200)) + "\n" + passage, "en", f"s{i}", 0) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    assert len({r["doc_id"] for r in mixed if "p59" in r["text"]}) <= 1 and {r["doc_id"] for r in mixed} == {0, 1}

@@ -32,17 +32,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the group's least doc_id.
+    """One document of each group of near duplicates: that with the group's least doc_id, and of several with that doc_id the text with the least hash.
 
-    Documents without words, or without a doc_id, are in no group and stay.
+    Documents without a doc_id are kept only for groups that have no other.  Documents without words are in no group and stay.  A row
+    repeated whole comes out once, but for rows with neither words nor a doc_id, which all stay.
     """
     docs = docs.select(*COLUMNS)
-    joined = jaccard.join(docs, WORDS, PERCENT)
-    heads = joined.filter("component_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_head"))
-    gone = written(heads.filter("not _head").select("doc_id"), "pipeline-copies")
-    again = joined.filter("doc_id = component_id").count()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept if again == kept.select("doc_id").count() else kept.dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")), F.isnull("text")))
+    joined = jaccard.join(keyed, WORDS, PERCENT, key="_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("_key") == F.col("head.key"))
+    grouped = joined.filter("head is not null or n_shingles = 0 and doc_id is not null")
+    counts = grouped.groupBy("doc_id", "_key", (F.isnull("head") | stays).alias("_stays")).agg(F.count("*").alias("_n"))
+    counts = written(counts.filter("_n > 1 or not _stays"), "pipeline-copies")
+
+    def those(kept: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        listed = listed.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_listed"))
+        return kept.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_listed")), how)
+
+    gone, again = counts.filter("not _stays"), counts.filter("_stays")
+    if not again.limit(1).count():
+        return those(keyed, gone, "left_anti").select(*COLUMNS)
+    once = those(keyed, again, "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return those(keyed, counts, "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

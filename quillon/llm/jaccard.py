@@ -117,11 +117,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def survey(documents: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, cid, n) for documents, and (token, count) for what is frequent within a task; written."""
+def survey(documents: DataFrame, words: int, key: str | None = None) -> DataFrame:
+    """Rows (doc_id, cid, n) for documents, with the bigint column `key` if one is named, and (token, count) for what is frequent within a task; written."""
     ids = documents.schema["doc_id"].dataType.simpleString()
     arrow = pa.int32() if ids == "int" else pa.int64()
-    schema = pa.schema([("doc_id", arrow), ("cid", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
+    extra = [key] if key else []
+    schema = pa.schema([("doc_id", arrow), ("cid", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64()), *((k, pa.int64()) for k in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingle, seen = Shingler(words), set()
@@ -154,14 +155,15 @@ def survey(documents: DataFrame, words: int) -> DataFrame:
                         keys, counts = fold(keys, counts)
                         fresh, waiting = [], 0
             none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, arrow), pa.array(cid, pa.int64()), pa.array(size, pa.int32()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, arrow), pa.array(cid, pa.int64()), pa.array(size, pa.int32()), none, none, *(batch.column(2) for _ in extra)], schema=schema)
         if fresh:
             keys, counts = fold(keys, counts)
         if len(keys):
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, arrow), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(_signed(keys)), pa.array(counts)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, arrow), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(_signed(keys)), pa.array(counts), *(pa.nulls(n, pa.int64()) for _ in extra)], schema=schema)
 
-    return written(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, cid bigint, n int, token bigint, count bigint"), "jaccard-survey")
+    ddl = ", ".join([f"doc_id {ids}, cid bigint, n int, token bigint, count bigint", *(f"`{k}` bigint" for k in extra)])
+    return written(documents.select("doc_id", "text", *extra).mapInArrow(run, ddl), "jaccard-survey")
 
 
 def heavy_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -342,10 +344,15 @@ def opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent:
     return work.groupBy("b", "chunk", "share").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    surveyed = survey(documents, words)
-    docs = surveyed.filter("token is null").select("doc_id", "cid", "n")
+def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    With a key, a bigint column that tells rows of the same doc_id apart, also the key and head: the least (unnamed, doc_id, key) of
+    the row's group, unnamed being whether the doc_id is null.  Head is null where the row is its own group.
+    """
+    extra = [key] if key else []
+    surveyed = survey(documents, words, key)
+    docs = surveyed.filter("token is null").select("doc_id", "cid", "n", *extra)
     posted = written(postings(documents, heavy_tokens(surveyed), words, percent), "jaccard-postings")
     enough = lambda *n: F.least(*(F.ceil(F.lit(percent) * F.col(c) / 100) for c in n), F.lit(SHARED))
     # groups: the best hub of each class, among those of like size in its tokens' lists
@@ -385,12 +392,14 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     # classes, documents
     named = members.select("cid", "part").unionByName(inner.join(main, "gid", "left_anti").select("cid", "part"))
     named = named.join(top.withColumnRenamed("node", "part"), "part", "left").select("cid", F.coalesce("label", "part").alias("label"))
-    classes = docs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"))
+    heads = [F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.col(k).alias("key")) for k in extra]
+    classes = docs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"), *(F.min(h).alias("head") for h in heads))
     known = written(classes.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "jaccard-classes")
-    least_doc = known.groupBy("label").agg(F.min("_first").alias("component_id"), F.sum("_copies").alias("_size")).filter("_size > 1")
-    special = written(known.join(least_doc, "label").select("cid", "component_id"), "jaccard-special")
+    least_doc = known.groupBy("label").agg(F.min("_first").alias("component_id"), F.sum("_copies").alias("_size"), *(F.min("head").alias("head") for _ in extra)).filter("_size > 1")
+    head = ["head"] if key else []
+    special = written(known.drop("head").join(least_doc, "label").select("cid", "component_id", *head), "jaccard-special")
     out = docs.join(special, "cid", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra, *head)
 
 
 #: The same in DuckDB, by all pairs that share a shingle; for small tables only.

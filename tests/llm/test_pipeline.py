@@ -45,3 +45,17 @@ def test_a_passage_of_two_documents_is_mixed_from_one(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
     assert len({r["doc_id"] for r in mixed if "p59" in r["text"]}) <= 1 and {r["doc_id"] for r in mixed} == {0, 1}
+
+
+def test_one_row_of_each_group_stays(spark):
+    def words(name):
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    texts = [(1, words("a")), (1, words("a")), (2, words("a") + " more"), (3, words("b")), (3, words("b")), (4, "x"), (4, "x"), (5, "y"), (5, "z"), (5, "z"), (6, ""), (6, ""), (6, None)]
+    unnamed = [(None, words("b")), (None, words("c")), (None, words("c")), (None, ""), (None, ""), (None, None)]
+    named = [(1, words("a")), (3, words("b")), (4, "x"), (5, "y"), (5, "z"), (6, ""), (6, None)]
+    rest = [(None, words("c")), (None, ""), (None, ""), (None, None)]
+    for given, want in ((texts, named), (texts + unnamed, named + rest), (unnamed[1:2] + texts[5:6], unnamed[1:2] + texts[5:6])):
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        out = corpus_pipeline.drop_copies(spark, docs.repartition(3), SF)
+        assert out.columns == docs.columns and sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))

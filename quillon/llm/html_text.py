@@ -36,7 +36,7 @@ BLOCK = frozenset(
     h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 #: Elements whose content is never prose of the page.
-OPAQUE = frozenset("script style noscript template svg math canvas iframe object embed audio video head title textarea select button datalist noembed noframes map".split())
+OPAQUE = frozenset("script style noscript template svg math canvas iframe object audio video head title textarea select button datalist noembed noframes map".split())
 RAW = frozenset("script style textarea title noembed noframes iframe".split())
 SIDE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

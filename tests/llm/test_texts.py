@@ -41,6 +41,14 @@ def test_broken_markup(page):
         assert html_text.main_text(page) == "plain"
 
 
+PROSE = "It is the kind of text that has a lot of the words that are in all of the texts, and it goes on for a while."
+
+
+def test_embed_has_no_end_tag():
+    for embed in ('<embed src="a.swf">', '<embed src="a.swf"/>', "<EMBED src=a.swf></EMBED>"):
+        assert html_text.main_text(f"<article><p>{PROSE}</p>{embed}<p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x</p>", 2), (None, "v", "", 3)], "page_id bigint, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("x", 1)]

@@ -59,22 +59,27 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Index of the > that ends the tag at `at`, outside quotes; -1 if none."""
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Index of the > that ends the tag at `at`, outside quotes; the first > where no tag ends so, -1 if none.
+
+    dead: the page's opening quotes known to lead to no end, each of which is followed only once.
+    """
     first = page.find(">", at)
     if first < 0:
         return -1
-    pos = at
+    pos, opened = at, []
     while (m := _QUOTE.search(page, pos)) is not None:
         if m[0] == ">":
             return m.start()
         if page[m.start() - 1 : m.start()] != "=" and not page[pos : m.start()].rstrip().endswith("="):
             pos = m.end()  # a stray quote, not an attribute's
             continue
-        shut = page.find(m[0], m.end(), m.end() + 4096)
+        shut = -1 if m.start() in dead else page.find(m[0], m.end())
+        opened.append(m.start())
         if shut < 0:
-            return first
+            break
         pos = shut + 1
+    dead.update(opened)
     return first
 
 
@@ -106,6 +111,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     open_of: dict[str, int] = {}
     bad = inside = linked = 0
     in_link = False
+    dead: set[int] = set()
     low = None
 
     def flush() -> None:
@@ -155,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 shut = page.find(">", at)
                 pos = end if shut < 0 else shut + 1
             continue
-        shut = _tag_end(page, m.end())
+        shut = _tag_end(page, m.end(), dead)
         if shut < 0:
             break
         tag, attrs, pos = m[0].lower(), page[m.end() : shut], shut + 1

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def test_embed_has_no_end_tag():
         assert html_text.main_text(f"<article><p>{PROSE}</p>{embed}<p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
 
 
+def test_long_attributes_end_at_their_quote():
+    for value in ("<p>no text</p></article>" * 400, "a > b " * 2000):
+        for quote in "\"'":
+            assert html_text.main_text(f"<article><p>{PROSE}</p><div data-props={quote}{value}{quote}><p>{PROSE}</p></div></article>") == f"{PROSE}\n\n{PROSE}"
+    began = time.process_time()
+    for odd in ("<a b=\"'>" * 50_000, "<a b=\">c=" * 50_000 + "'", "<a>='" + "<a b=\" c='>" * 50_000, "<i x=\"" * 50_001 + ">" * 9):
+        html_text.main_text(odd)
+    assert time.process_time() - began < 20
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x</p>", 2), (None, "v", "", 3)], "page_id bigint, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("x", 1)]

@@ -2,7 +2,9 @@
 
 Pass one classifies blocks by length, stop-word density and link density;
 pass two lets short, undecided blocks inherit the label of their nearest
-decided neighbours.  Blocks inside menus, page headers, footers, sidebars,
+decided neighbours.  Where a page has neither article nor main and no block has
+the stop words of a language this reads, length and link density decide alone.
+Blocks inside menus, page headers, footers, sidebars,
 notices, adverts, forms and comments are decided from their markup.
 
 Null and empty pages give empty text.  Markup that is never closed runs to
@@ -208,9 +210,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def _stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     """True for the blocks of the main text."""
     first: list[bool | None] = []
+    foreign = not any(f[2] for f in found) and max((_stop_density(text) for text, _, _, side in found if not side and len(text) >= SHORT), default=0) < STOP_LOW
     for text, linked, inside, side in found:
         if side:
             first.append(False)
@@ -222,9 +230,8 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         if len(text) < SHORT:
             first.append(None if not linked or inside else False)
             continue
-        words = text.lower().split()
-        stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if inside:
+        stop = _stop_density(text)
+        if inside or foreign:
             first.append(True if stop >= STOP_LOW or len(text) >= GOOD_LENGTH else None)
         elif stop >= STOP_HIGH or stop >= STOP_LOW and len(text) >= GOOD_LENGTH:
             first.append(True)

@@ -60,6 +60,13 @@ def test_long_attributes_end_at_their_quote():
     assert time.process_time() - began < 20
 
 
+def test_languages_without_stop_words():
+    for long in ("Tämä kappale, jonka kieli ei ole mikään luetelluista kielistä, sisältää monta sanaa. " * 3, "これは長い段落です。" * 25):
+        page = f"<body><div><a href=1>{long}</a></div><div>{long}</div><p>x y</p><div>{long}</div><nav>{long}</nav></body>"
+        assert html_text.main_text(page) == f"{long.strip()}\n\nx y\n\n{long.strip()}"
+        assert html_text.main_text(page.replace("x y", PROSE * 2)) == PROSE * 2
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x</p>", 2), (None, "v", "", 3)], "page_id bigint, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("x", 1)]

@@ -58,6 +58,7 @@ _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE = re.compile("[\"'>]")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -180,7 +181,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if attrs.endswith("/") and tag not in RAW:
                 continue
             if low is None:
-                low = page.lower() if len(page.lower()) == len(page) else page
+                low = page.lower()
+                if len(low) != len(page):  # some letters grow, as U+0130 does
+                    low = page.translate(_ASCII_LOWER)
             shut = low.find(f"</{tag}", pos)
             if shut < 0 and tag in ("head", "title", "button", "select", "noscript"):
                 continue  # never closed: its content stands in the page

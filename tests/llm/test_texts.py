@@ -67,6 +67,11 @@ def test_languages_without_stop_words():
         assert html_text.main_text(page.replace("x y", PROSE * 2)) == PROSE * 2
 
 
+def test_end_tags_in_any_case_beside_letters_that_grow():
+    page = f"<article><p>{PROSE} \u0130</p><SCRIPT>x</SCRIPT><style>y</Style><p>{PROSE}</p></article>"
+    assert html_text.main_text(page) == f"{PROSE} \u0130\n\n{PROSE}"
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x</p>", 2), (None, "v", "", 3)], "page_id bigint, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("x", 1)]

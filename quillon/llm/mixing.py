@@ -59,15 +59,21 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def _left(counts: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of `take` slots each source gets; proportional where the totals are beyond the sampler's range."""
-    total = int(counts.sum())
-    if total < 900_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    exact = [int(c) * take for c in counts]
-    got = np.array([x // total for x in exact], dtype=np.int64)
-    short = take - int(got.sum())
-    for i in sorted(range(len(exact)), key=lambda i: (-(exact[i] % total), i))[:short]:
-        got[i] += 1
+    """How many of `take` slots each source gets, drawn without replacement.
+
+    Beyond the sampler's range sources are drawn one after the other, by the binomial (under a thousandth of the slots) or normal
+    distribution that the hypergeometric one nears there, until what is left is within it.
+    """
+    total, rng = int(counts.sum()), np.random.default_rng(seed)
+    got = np.zeros(len(counts), dtype=np.int64)
+    for i, c in enumerate(counts.tolist()):
+        if total < 900_000_000:
+            got[i:] = rng.multivariate_hypergeometric(counts[i:], take, method="marginals")
+            break
+        share = take / total
+        n = rng.binomial(c, share) if 1000 * c < total else round(rng.normal(c * share, (c * share * (1 - share) * (total - c) / (total - 1)) ** 0.5))
+        got[i] = n = min(max(int(n), take - (total - c), 0), c, take)
+        total, take = total - c, take - n
     return got
 
 

@@ -103,6 +103,17 @@ def test_permutations_and_draws():
     assert at.tolist() == counts
 
 
+def test_draws_beyond_the_sampler_are_random():
+    counts = np.array([700_000_000, 5_000, 0, 600_000_000, 300], dtype=np.int64)
+    total, take = int(counts.sum()), 650_002_650
+    got = np.array([mixing._left(counts, take, (1, 2, i)) for i in range(400)])
+    assert (got.sum(axis=1) == take).all() and (got >= 0).all() and (got <= counts).all()
+    share = take / total
+    sd = np.sqrt(counts * share * (1 - share) * (total - counts) / (total - 1))
+    assert (abs(got.mean(axis=0) - counts * share) <= 0.25 * sd).all() and (abs(got.std(axis=0) - sd) <= 0.2 * sd).all()
+    assert (mixing._left(counts, total, (1,)) == counts).all() and not mixing._left(counts, 0, (1,)).any()
+
+
 def documents(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 400))), rng.choice(["a", "b", "b", "b", "é", None])) for i in range(300)]

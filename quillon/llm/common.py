@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spool import forget, recorded, remove, shared_dir  # noqa: F401
+from ..operators.spool import spooled as written  # noqa: F401
+
 #: The white space that separates words, as a Java and Python class body.
 SPACE = "\\x20\\x09-\\x0D"
 #: The same characters, as text.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 #: Rows that a Python worker turns into objects at a time.
 ROWS_AT_ONCE = 512
 
@@ -63,6 +46,14 @@ def map_rows(df: DataFrame, names: list[str], make: Callable[[], Callable[..., t
     return df.select(*names).mapInArrow(run, ddl)
 
 
+def id_type(df: DataFrame, column: str = "doc_id") -> tuple[str, pa.DataType]:
+    """SQL name and Arrow type of an id column, whatever its type."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,22 +1,26 @@
 """Mixing sources to target weights.
 
 Each source's words, document after document, are packed into blocks of BLOCK
-words.  A mix has as many slots as its targets have blocks, dealt over output
-shards.  Each shard draws how many slots each source gets: the draws are
-multinomial given the totals (multivariate hypergeometric), made by walking a
-binary tree of shard ranges whose nodes have seeds of their own, so a shard
-needs nothing but the totals and always draws the same.  Slot t of a source
-maps to block t mod n of epoch t div n through a pseudorandom permutation of
-the epoch, and slots join blocks by index.  No block is used more than
-REPEATS times.
+words; only its last block may be shorter.  A mix has as many slots as its
+targets have blocks, dealt over output shards.  Each shard draws how many slots
+each source gets: the draws are multinomial given the totals (multivariate
+hypergeometric), made by walking a binary tree of shard ranges whose nodes have
+seeds of their own, so a shard needs nothing but the totals and always draws
+the same.  Slot t of a source maps to a block of epoch t div n through a
+pseudorandom permutation of the epoch, the short block coming last, and slots
+join blocks by index.  The last slot is cut to the word, so a source takes its
+target to the nearest word.  No word is used more than REPEATS times.
 
 Sources are ranked by code point, null last, and weigh WEIGHTS in turn; a
 target stops at REPEATS times its source's size and the excess is shared again
 by weight.  The totals of the sources (one row each) are gathered on the
 driver: a draw is a vector over the sources.
 
-Null and empty texts have size 0 and nothing taken.  Repeated rows are
-documents of their own.  An empty table gives an empty result.
+Null and empty texts have size 0 and nothing taken.  Repeated rows and rows of
+one doc_id are documents of their own; rows that are equal in doc_id and text
+may take each other's places.  A very long text spans blocks and may be taken
+in part.  An empty table gives an empty result.  plan() reads doc_id, text and
+source only; mix() keeps every column, whatever it is called.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .quality import word_count, words_of
 
 BLOCK = 64
 SHARD_SLOTS = 4096
-BUCKET_WORDS = 1 << 18
+BUCKET_WORDS = 1 << 20
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20240101
@@ -110,9 +114,29 @@ def permuted(index: np.ndarray, n: int, source: int, epoch: int, seed: int = SEE
     return out.astype(np.int64)
 
 
-def drawn(spark, shards: int, counts: list[int], blocks: list[int]) -> DataFrame:
-    """(shard, source, block) of every slot of the mix."""
-    schema = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("block", pa.int64())])
+def slots_of(size: int, target: float, block: int = BLOCK, repeats: int = REPEATS) -> tuple[int, int]:
+    """How many slots a source takes, and how many words of the last one."""
+    words = min(round(target), repeats * size)
+    if not words:
+        return 0, 0
+    epochs, rest = divmod(words, size)
+    if not rest:
+        return epochs * -(-size // block), size - (size - 1) // block * block
+    return epochs * -(-size // block) + -(-rest // block), rest - (rest - 1) // block * block
+
+
+def blocks_of(slots: np.ndarray, size: int, source: int, epoch: int, block: int = BLOCK) -> np.ndarray:
+    """The block of each slot (counted within its epoch): whole blocks in the epoch's order, then the short one."""
+    whole = size // block
+    out = np.full(len(slots), whole, dtype=np.int64)
+    if whole:
+        out[slots < whole] = permuted(slots[slots < whole], whole, source, epoch)
+    return out
+
+
+def drawn(spark, shards: int, counts: list[int], cuts: list[int], sizes: list[int]) -> DataFrame:
+    """(shard, k, block, cut) of every slot of the mix; cut: the words that a source's last slot takes, else null."""
+    schema = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("block", pa.int64()), ("cut", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -122,17 +146,18 @@ def drawn(spark, shards: int, counts: list[int], blocks: list[int]) -> DataFrame
                     if not n[k]:
                         continue
                     t = np.arange(first[k], first[k] + n[k])
-                    for epoch in range(int(t[0] // blocks[k]), int(t[-1] // blocks[k]) + 1):
-                        mine = t[t // blocks[k] == epoch]
-                        to = permuted(mine % blocks[k], blocks[k], k, epoch)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), shard)), pa.array(np.full(len(to), k, dtype=np.int32)), pa.array(to)], schema=schema)
+                    blocks = -(-sizes[k] // BLOCK)
+                    for epoch in range(int(t[0] // blocks), int(t[-1] // blocks) + 1):
+                        mine = t[t // blocks == epoch]
+                        to = blocks_of(mine % blocks, sizes[k], k, epoch)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), shard)), pa.array(np.full(len(to), k, dtype=np.int32)), pa.array(to), pa.array(np.full(len(to), cuts[k], dtype=np.int32), mask=mine != counts[k] - 1)], schema=schema)
 
     parts = min(max(1, shards), 4 * spark.sparkContext.defaultParallelism + shards // 16)
-    return spark.range(0, shards, 1, parts).mapInArrow(run, "shard bigint, k int, block bigint")
+    return spark.range(0, shards, 1, parts).mapInArrow(run, "shard bigint, k int, block bigint, cut int")
 
 
-def takes(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From a written table (uid, key, source, size): the sources (_host, k, source_size, target), and (uid, begin, words, times) of each document's piece of a block."""
+def takes(sized: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """From a written table (uid, key, source, size): the sources (_host, k, source_size, target), (uid, begin, words, times) of each document's pieces, and how many sources there are."""
     spark = sized.sparkSession
     keyed = sized.withColumn("_host", host_key("source"))
     found = keyed.groupBy("_host").agg(F.sum("size").alias("size"), F.max("source").alias("source")).collect()
@@ -143,27 +168,28 @@ def takes(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
         [(r["_host"], k, r["size"], t, max(1, -(-r["size"] // BUCKET_WORDS))) for k, (r, t) in enumerate(zip(found, aims))],
         "_host string, k int, source_size bigint, target double, _buckets bigint",
     )
-    known = keyed.filter("size > 0").join(F.broadcast(sources), "_host")
+    known = keyed.filter("size > 0").join(broadcast_if_small(sources, len(found)), "_host")
     order = W.partitionBy("k", "_bucket").orderBy("key", "doc_id", "uid")
     placed = known.select("uid", "doc_id", "key", "k", "size", F.pmod(F.xxhash64("key"), F.col("_buckets")).alias("_bucket"))
     placed = placed.withColumn("_end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     placed = written(placed.drop("key", "doc_id"), "mix-places")
-    buckets = placed.groupBy("k", "_bucket").agg(F.ceil(F.max("_end") / BLOCK).alias("_blocks"))
-    buckets = buckets.withColumn("_offset", F.sum("_blocks").over(W.partitionBy("k").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_blocks"))
-    buckets = written(buckets, "mix-buckets")
-    per = {r["k"]: r["n"] for r in buckets.groupBy("k").agg(F.sum("_blocks").alias("n")).collect()}
-    blocks = [per.get(k, 0) for k in range(len(found))]
-    counts = [min(REPEATS * b, round(t * b / s)) if s else 0 for b, t, s in zip(blocks, aims, sizes)]
+    buckets = placed.groupBy("k", "_bucket").agg(F.sum("size").alias("_words"))
+    buckets = buckets.select("k", "_bucket", (F.sum("_words").over(W.partitionBy("k").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_words")).alias("_before"))
+    planned = [slots_of(s, t) for s, t in zip(sizes, aims)]
+    counts = [n for n, _ in planned]
     shards = -(-sum(counts) // SHARD_SLOTS)
-    uses = drawn(spark, shards, counts, blocks).groupBy("k", "block").agg(F.count("*").alias("times"))
-    begin = F.col("_end") - F.col("size")
-    first, last = F.floor(begin / BLOCK), F.floor((F.col("_end") - 1) / BLOCK)
+    uses = drawn(spark, shards, counts, [c for _, c in planned], sizes).groupBy("k", "block").agg(F.count("*").alias("times"), F.max("cut").alias("cut"))
     n_buckets = sum(-(-s // BUCKET_WORDS) for s in sizes)
-    pieces = placed.join(broadcast_if_small(buckets.drop("_blocks"), n_buckets), ["k", "_bucket"]).select("uid", "k", "_offset", begin.alias("_begin"), "_end", F.explode(F.sequence(first, last)).alias("_j"))
-    low, high = F.greatest("_begin", F.col("_j") * BLOCK), F.least("_end", (F.col("_j") + 1) * BLOCK)
-    pieces = pieces.select("uid", "k", (F.col("_offset") + F.col("_j")).alias("block"), (low - F.col("_begin")).alias("begin"), (high - low).alias("words"))
+    pieces = placed.join(broadcast_if_small(buckets, n_buckets), ["k", "_bucket"]).withColumn("_end", F.col("_end") + F.col("_before")).withColumn("_begin", F.col("_end") - F.col("size"))
+    pieces = pieces.select("uid", "k", "_begin", "_end", F.explode(F.sequence(F.floor(F.col("_begin") / BLOCK), F.floor((F.col("_end") - 1) / BLOCK))).alias("block"))
+    low, high = F.greatest("_begin", F.col("block") * BLOCK), F.least("_end", (F.col("block") + 1) * BLOCK)
+    pieces = pieces.select("uid", "k", "block", (low - F.col("_begin")).alias("begin"), (high - low).alias("words"), (low - F.col("block") * BLOCK).alias("_at"))
     # Spark takes the slots for tiny, as the range of shards is: without the hint it would broadcast a table that grows with the input
-    return sources.drop("_buckets"), pieces.join(uses.hint("merge"), ["k", "block"]).select("uid", "begin", "words", "times")
+    used = pieces.join(uses.hint("merge"), ["k", "block"])
+    inside = F.least("words", F.greatest(F.coalesce("cut", F.lit(BLOCK)) - F.col("_at"), F.lit(0))).cast("bigint")
+    both = F.array(F.struct("begin", inside.alias("words"), "times"), F.struct((F.col("begin") + inside).alias("begin"), (F.col("words") - inside).alias("words"), (F.col("times") - 1).alias("times")))
+    used = used.select("uid", F.explode(F.filter(both, lambda x: (x["words"] > 0) & (x["times"] > 0))).alias("_piece"))
+    return sources.drop("_buckets"), used.select("uid", "_piece.*"), len(found)
 
 
 def sized(documents: DataFrame, rows: bool = False) -> DataFrame:
@@ -177,9 +203,9 @@ def sized(documents: DataFrame, rows: bool = False) -> DataFrame:
 def plan(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     base = sized(documents)
-    sources, pieces = takes(base)
+    sources, pieces, n = takes(base)
     taken = pieces.groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = base.withColumn("_host", host_key("source")).join(F.broadcast(sources), "_host", "left").join(taken, "uid", "left")
+    rows = base.withColumn("_host", host_key("source")).join(broadcast_if_small(sources, n), "_host", "left").join(taken, "uid", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -189,7 +215,7 @@ def mix(documents: DataFrame) -> DataFrame:
     A text taken whole stays as it is; of another the pieces are joined, with single spaces.
     """
     base = sized(documents, rows=True)
-    _, pieces = takes(base)
+    _, pieces, _ = takes(base)
     mine = pieces.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("begin", "words", "times"))).alias("_pieces"))
     times = F.array_max(F.transform("_pieces", lambda p: p["times"])).cast("int")
     joined = base.select("uid", "size", "_row").join(mine, "uid").withColumn("_time", F.explode(F.sequence(F.lit(1), times)))

@@ -10,9 +10,13 @@ become extreme-value statistics with Karlin-Altschul parameters of the clean
 training text, those that are significant are summed, and a logistic curve,
 fitted on out-of-fold scores, turns the sum into a probability.
 
-The model is fitted on at most TRAIN_ROWS labelled rows, the first by hash of
-doc_id among the rows given.  Null and empty texts have no segment and get the
-probability of that.  Without labels of both kinds every score is 0.
+The model is fitted on at most TRAIN_ROWS labelled documents, the first by hash
+of doc_id among those given.  Labels without a doc_id or a value teach nothing;
+of several labels of a document the greatest counts.  Null and empty texts have
+no segment and get the probability of that; very long texts are scored whole,
+and repeated rows alike.  Without labels of both kinds every score is 0.  An
+empty table gives an empty result.  Only the columns kept and text are read,
+whatever others are called.
 """
 
 from __future__ import annotations
@@ -210,11 +214,12 @@ def held_out(doc_id) -> bool:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[list[str], int]]:
-    """Words and label of at most `rows` labelled documents whose crc32 remainder isn't 0."""
+    """Words and label of at most `rows` labelled documents whose crc32 remainder isn't 0; of several texts of one doc_id, that with the least hash."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "", r["_toxic"]) for r in texts.toLocalIterator(prefetchPartitions=True))[:rows]
+    texts = texts.groupBy("doc_id").agg(F.first("_toxic").alias("_toxic"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    found = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "", r["_toxic"]) for r in texts.toLocalIterator(prefetchPartitions=True))
     return [(list(map(sys.intern, words_of(text))), int(toxic > 0)) for _, _, text, toxic in found]
 
 

@@ -2,12 +2,16 @@
 
 `mux` stores a payload as a one-track file: nested boxes with sample tables,
 and the samples in one media-data box.  `probe` walks the boxes of such a file
-(or any other with the same tables), decodes the sample tables and gives
-codec, duration and the byte range of each keyframe; it reads no payload byte.
-`payload` follows the tables to the sample bytes and joins them.
-
-Null and empty texts are stored as one frame of padding.  Equal texts give
-equal bytes: no clock or random value goes into a file.
+or any other, decodes the sample tables of the first track, fragments included,
+and gives codec, duration and the byte range of each keyframe; it reads no
+payload byte.  `payload` follows the tables to the sample bytes and joins them.
+
+Null and empty texts are stored as one frame of padding; a very long text is
+one file, with 64-bit offsets where it needs them.  Equal texts give equal
+bytes, repeated rows too: no clock or random value goes into a file.  Damaged
+files give what can be read: a table stops where its box ends, and samples that
+lie outside the file are left out.  Only doc_id and text are read, whatever
+other columns are called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +19,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import id_type, map_rows
 
 FRAME = 576
 RATE = 8000
@@ -118,57 +122,168 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    sizes: list[int] | range | tuple = ()
-    chunks: tuple[int, ...] = ()
-    runs: tuple[tuple[int, int], ...] = ()
-    keys: tuple[int, ...] | None = None
-
-    def offsets(self) -> list[tuple[int, int]]:
-        """Begin and end of each sample in the file."""
-        out, n = [], 0
-        for i, (first, count) in enumerate(self.runs):
+    #: Begin, end and whether it is a keyframe of each sample that lies in the file.
+    samples: list[tuple[int, int, bool]] = field(default_factory=list)
+
+
+def _numbers(data: bytes, at: int, end: int, count: int, kind: str, stride: int = 0) -> list[int]:
+    """`count` numbers from `at` on, fewer where the box ends before."""
+    size = struct.calcsize(f">{kind}")
+    stride = stride or size
+    return [struct.unpack_from(f">{kind}", data, p)[0] for p in range(at, min(at + count * stride, end - size + 1), stride)]
+
+
+class Fields:
+    """Reads numbers one after the other; what lies beyond the end is 0 and `short` tells."""
+
+    def __init__(self, data: bytes, at: int, end: int):
+        self.data, self.at, self.end, self.short = data, at, end, False
+
+    def take(self, kind: str = "I") -> int:
+        size = struct.calcsize(f">{kind}")
+        self.at += size
+        if self.at > self.end:
+            self.short = True
+            return 0
+        return struct.unpack_from(f">{kind}", self.data, self.at - size)[0]
+
+
+class Probe:
+    """What the walk over a file's boxes gathers about its first track."""
+
+    def __init__(self, data: bytes):
+        self.data, self.track = data, Track()
+        self.tracks, self.id = 0, None
+        self.sizes: list[int] | range = []
+        self.same, self.count = 0, 0
+        self.chunks: list[int] = []
+        self.runs: list[tuple[int, int]] = []
+        self.keys: set[int] | None = None
+        self.defaults: dict[int, tuple[int, int]] = {}
+        self.moof = self.base = self.next = 0
+        self.here, self.size, self.flags = False, 0, 0
+
+    def run(self) -> Track:
+        for path, at, end in walk(self.data):
+            kind = path[-1].decode("latin-1").strip()
+            if kind == "trak":
+                self.tracks += 1
+            elif kind == "moof":
+                self.moof = self.next = at - 8
+            elif b"trak" in path[:-1] and self.tracks != 1:
+                continue
+            elif (read := getattr(self, f"on_{kind}", None)) is not None:
+                read(at, end)
+        n = 0
+        for i, (first, per) in enumerate(self.runs):
             last = self.runs[i + 1][0] if i + 1 < len(self.runs) else len(self.chunks) + 1
-            for chunk in range(first, last):
-                at = self.chunks[chunk - 1]
-                for size in self.sizes[n : n + count]:
-                    out.append((at, at + size))
-                    at += size
-                n += count
-        return out
+            for place in self.chunks[max(0, first - 1) : max(0, last - 1)]:
+                for size in [self.same] * min(per, self.count - n) if self.same else self.sizes[n : n + per]:
+                    n += 1
+                    self.sample(place, size, self.keys is None or n in self.keys)
+                    place += size
+        self.track.samples.sort(key=lambda x: x[0]) if self.moof and not self.runs else None
+        return self.track
+
+    def sample(self, at: int, size: int, key: bool) -> None:
+        if 0 <= at and at + size <= len(self.data):
+            self.track.samples.append((at, at + size, key))
+
+    def on_tkhd(self, at: int, end: int) -> None:
+        box = Fields(self.data, at, end)
+        wide = box.take("B")
+        box.at = at + (20 if wide else 12)
+        self.id = box.take()
+
+    def on_mdhd(self, at: int, end: int) -> None:
+        box = Fields(self.data, at, end)
+        wide = box.take("B")
+        box.at = at + (20 if wide else 12)
+        scale, duration = box.take(), box.take("Q" if wide else "I")
+        if not box.short:
+            self.track.timescale, self.track.duration = scale, min(duration, (1 << 63) - 1)
+
+    def on_stsd(self, at: int, end: int) -> None:
+        if end - at >= 16:
+            self.track.codec = self.data[at + 12 : at + 16].decode("latin-1")
+
+    def on_stsz(self, at: int, end: int) -> None:
+        box = Fields(self.data, at + 4, end)
+        self.same, self.count = box.take(), box.take()
+        if self.same:
+            self.count = min(self.count, len(self.data) // self.same)
+        else:
+            self.sizes = _numbers(self.data, at + 12, end, self.count, "I")
+
+    def on_stco(self, at: int, end: int, kind: str = "I") -> None:
+        count = Fields(self.data, at + 4, end).take()
+        self.chunks = _numbers(self.data, at + 8, end, count, kind)
+
+    def on_co64(self, at: int, end: int) -> None:
+        self.on_stco(at, end, "Q")
+
+    def on_stsc(self, at: int, end: int) -> None:
+        count = Fields(self.data, at + 4, end).take()
+        first, per = (_numbers(self.data, at + 8 + 4 * i, end, count, "I", 12) for i in range(2))
+        self.runs = list(zip(first, per))
+
+    def on_stss(self, at: int, end: int) -> None:
+        count = Fields(self.data, at + 4, end).take()
+        self.keys = set(_numbers(self.data, at + 8, end, count, "I"))
+
+    def on_trex(self, at: int, end: int) -> None:
+        box = Fields(self.data, at + 4, end)
+        track, _, _, size, flags = (box.take() for _ in range(5))
+        self.defaults[track] = size, flags
+
+    def on_tfhd(self, at: int, end: int) -> None:
+        box = Fields(self.data, at, end)
+        marks, track = box.take() & 0xFFFFFF, box.take()
+        self.here = self.id is None or track == self.id
+        base = box.take("Q") if marks & 0x1 else self.moof
+        self.base = self.next = base
+        for mark in (0x2, 0x8):
+            if marks & mark:
+                box.take()
+        size, flags = self.defaults.get(track, (0, 0))
+        self.size = box.take() if marks & 0x10 else size
+        self.flags = box.take() if marks & 0x20 else flags
+
+    def on_trun(self, at: int, end: int) -> None:
+        if not self.here:
+            return
+        box = Fields(self.data, at, end)
+        marks, count = box.take() & 0xFFFFFF, box.take()
+        place = self.base + box.take("i") if marks & 0x1 else self.next
+        first = box.take() if marks & 0x4 else None
+        if not marks & 0xF00:  # nothing is stored for each sample
+            count = min(count, len(self.data) // max(1, self.size))
+        for i in range(count):
+            if marks & 0x100:
+                box.take()
+            size = box.take() if marks & 0x200 else self.size
+            flags = box.take() if marks & 0x400 else self.flags
+            if marks & 0x800:
+                box.take()
+            if box.short:
+                break
+            self.sample(place, size, not (first if first is not None and i == 0 else flags) & 0x10000)
+            place += size
+        self.next = place
 
 
 def probe(data: bytes) -> Track:
-    """The sample tables of the file's first track."""
-    track = Track()
-    for path, at, end in walk(data):
-        kind = path[-1]
-        if kind == b"mdhd":
-            track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
-        elif kind == b"stsd" and end - at >= 16:
-            track.codec = data[at + 12 : at + 16].decode("latin-1")
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, at + 4)
-            track.sizes = [size] * n if size else list(struct.unpack_from(f">{n}I", data, at + 12))
-        elif kind in (b"stco", b"co64"):
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            track.chunks = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", data, at + 8)
-        elif kind == b"stsc":
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            track.runs = tuple(struct.unpack_from(">II", data, at + 8 + 12 * i) for i in range(n))
-        elif kind == b"stss":
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            track.keys = struct.unpack_from(f">{n}I", data, at + 8)
-    return track
+    """Codec, duration and samples of the file's first track."""
+    return Probe(data).run()
 
 
 def keyframes(track: Track) -> list[tuple[int, int]]:
     """Byte range of each keyframe; all samples where the file names none."""
-    spans = track.offsets()
-    return spans if track.keys is None else [spans[k - 1] for k in track.keys]
+    return [(a, b) for a, b, key in track.samples if key]
 
 
 def payload(data: bytes, track: Track) -> bytes:
-    return b"".join(data[a:b] for a, b in track.offsets())
+    return b"".join(data[a:b] for a, b, _ in track.samples)
 
 
 def store(documents: DataFrame) -> DataFrame:
@@ -182,8 +297,8 @@ def store(documents: DataFrame) -> DataFrame:
 
         return row
 
-    kind = dict(documents.dtypes)["doc_id"]
-    fields = [("doc_id", pa.int32() if kind == "int" else pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("keyframes", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
+    kind, arrow = id_type(documents)
+    fields = [("doc_id", arrow), ("n_bytes", pa.int64()), ("media", pa.binary()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("keyframes", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
     return map_rows(documents, ["doc_id", "text"], make, fields, f"doc_id {kind}, n_bytes bigint, media binary, codec string, timescale bigint, duration bigint, keyframes array<struct<begin:bigint,end:bigint>>")
 
 
@@ -200,7 +315,7 @@ def digest(stored: DataFrame) -> DataFrame:
 
         return row
 
-    kind = dict(stored.dtypes)["doc_id"]
+    kind, arrow = id_type(stored)
     names = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
-    fields = [("doc_id", pa.int32() if kind == "int" else pa.int64()), *((n, pa.int64() if t == "bigint" else pa.string()) for n, t in names)]
+    fields = [("doc_id", arrow), *((n, pa.int64() if t == "bigint" else pa.string()) for n, t in names)]
     return map_rows(stored, ["doc_id", "n_bytes", "media"], make, fields, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in names))

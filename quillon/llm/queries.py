@@ -30,7 +30,7 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.store(table(spark, sf_dir, "documents")))
+    return media.digest(written(media.store(table(spark, sf_dir, "documents")), "media-files"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_secret_scan, op3_mixing, op4_jaccard_join, op5_line_quality, op6_media_columns, op7_toxicity, op8_bpe, op9_warc, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": jaccard.SQL, "op5_line_quality": quality.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": jaccard.SQL, "op5_line_quality": quality.SQL, "op9_warc": warc.SQL, "op10_line_dedup": line_dedup.SQL}

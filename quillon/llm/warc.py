@@ -7,12 +7,21 @@ record block cut into segments: a first record and continuation records that
 name it as their origin.  Equal payloads are stored once; the other records
 are revisits.
 
-`read` parses the archives.  Whole records are decoded where they lie; only
-segments are shuffled, by origin identifier, then ordered by segment number,
-checked against the total length that the last one states, and unframed.
-
-Null payloads are empty.  A record whose segments are missing or whose length
-is wrong comes back with status "damaged" and no payload.
+`read` parses archives, our own or others, plain or in gzip members.  Whole
+records are decoded where they lie; only segments are shuffled, by origin
+identifier, then ordered by segment number, checked against the total length
+that the last one states, and unframed.  Responses, resources and revisits give
+a row each; records of other kinds (warcinfo, request, metadata, conversion)
+give none.  A page id is read from the header that `write` adds, so it is null
+for archives without it; a revisit then has no page to refer to.
+
+Null and empty payloads are payloads of no bytes, all equal; very long ones are
+stored in segments.  Rows that are equal, or that tie for the largest page_id
+of a payload, are all responses.  A record that is cut off, whose segments are
+missing (the first one, too), whose length is wrong or whose digest doesn't
+match comes back with status "damaged" and no payload.  Only page_id, url and
+html are read, whatever other columns are called.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +45,7 @@ ARCHIVE_BYTES = 4_000_000
 VERSION = b"WARC/1.1\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2024-01-01T00:00:00Z"
+CAPTURES = frozenset(("response", "resource", "revisit", "continuation"))
 
 
 def digest(data: bytes) -> str:
@@ -100,20 +111,43 @@ def records_of(place: str, page_id: int | None, url: str | None, data: bytes, re
             yield record(b"continuation", identifier(place, page_id, i + 1), [target, own, number, (b"WARC-Segment-Origin-ID", rid), *last], block[at : at + SEGMENT])
 
 
+def inflated(content: bytes) -> bytes:
+    """An archive as it was before compression; of a broken gzip member what can be read."""
+    out = []
+    while content.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data
+    return b"".join(out) if out else content
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while content.startswith(b"WARC/", at):
+    """Headers (lower-case names) and block of each record of an archive. After a header without a length the next record is looked for."""
+    content = inflated(content)
+    at = content.find(b"WARC/")
+    while at >= 0:
         end = content.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        headers = {}
+        headers, last = {}, ""
         for line in content[at:end].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            headers[name.decode("latin-1").strip().lower()] = value.strip().decode("utf-8", "surrogatepass")
-        size = int(headers.get("content-length", "0"))
-        yield headers, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+            if line[:1] in b" \t" and last:  # a folded line goes on with the one before
+                headers[last] = f"{headers[last]} {line.strip().decode('utf-8', 'replace')}".strip()
+                continue
+            last = name.decode("latin-1").strip().lower()
+            headers[last] = value.strip().decode("utf-8", "replace")
+        size = whole(headers.get("content-length"))
+        yield headers, content[end + 4 : end + 4 + (size or 0)]
+        at = content.find(b"WARC/", end + 4 + (size or 0))
+
+
+def whole(value: str | None) -> int | None:
+    """A number of 0 or more; null where it isn't one that fits."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) < 19 else None
 
 
 def unframed(block: bytes) -> tuple[bytes | None, int]:
@@ -122,7 +156,8 @@ def unframed(block: bytes) -> tuple[bytes | None, int]:
     fields = {a.strip().lower(): b.strip() for a, _, b in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
     if fields.get(b"transfer-encoding", b"").lower() == b"chunked":
         return unchunked(body), -1
-    return body, int(fields.get(b"content-length", b"-1"))
+    length = whole(fields.get(b"content-length", b"").decode("latin-1"))
+    return body, -1 if length is None else length
 
 
 def roles(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -170,14 +205,22 @@ _PAGE = "page_id bigint, url string, record_type string, refers_to bigint, paylo
 _PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), ("payload", pa.binary())])
 
 
-def _page(headers: dict[str, str], block: bytes, keep: bool) -> tuple:
-    kind, page_id, url = headers["warc-type"], headers["warc-page-id"], headers["warc-target-uri"]
-    page_id = int(page_id) if page_id else None
-    stated = headers["warc-payload-digest"].removeprefix("sha1:")
-    data, length = unframed(block)
+def _page(headers: dict[str, str], block: bytes, keep: bool, complete: bool = True) -> tuple:
+    kind, url, page_id = headers.get("warc-type"), headers.get("warc-target-uri"), whole(headers.get("warc-page-id"))
+    if headers.get("warc-page-id", "").startswith("-"):
+        page_id = -(whole(headers["warc-page-id"][1:]) or 0)
+    kind = "response" if kind == "continuation" else kind
+    http = headers.get("content-type", "application/http").startswith("application/http")
+    data, length = unframed(block) if http else (block, -1)
+    stated = headers.get("warc-payload-digest", "")
+    known = stated.removeprefix("sha1:") if stated.startswith("sha1:") else None
+    if not complete:
+        return page_id, url, kind, None, None, None, "damaged", None
     if kind == "revisit":
-        return page_id, url, kind, int(headers["warc-refers-to-page"]), length, stated, "ok", None
-    if data is None or length not in (-1, len(data)) or digest(data) != stated:
+        refers = headers.get("warc-refers-to-page", "")
+        refers_to = -(whole(refers[1:]) or 0) if refers.startswith("-") else whole(refers)
+        return page_id, url, kind, refers_to, None if length < 0 else length, known, "ok", None
+    if data is None or length not in (-1, len(data)) or known not in (None, digest(data)):
         return page_id, url, kind, None, None, None, "damaged", None
     return page_id, url, kind, None, len(data), digest(data), "ok", data if keep else None
 
@@ -194,28 +237,39 @@ def read(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
             for content in batch.column(batch.schema.get_field_index("content")):
                 rows = []
                 for headers, block in parse(content.as_py()):
-                    number = headers.get("warc-segment-number")
+                    number, complete = whole(headers.get("warc-segment-number")), whole(headers.get("content-length")) == len(block)
+                    if headers.get("warc-type") not in CAPTURES:
+                        continue
                     if number is None:
-                        rows.append((*_page(headers, block, keep_payload), None, None, None, None, None))
+                        rows.append((*_page(headers, block, keep_payload, complete), None, None, None, None, None))
                     else:
-                        total = headers.get("warc-segment-total-length")
-                        origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
-                        first = list(headers.items()) if number == "1" else None
-                        rows.append((*[None] * len(names), origin, int(number), int(total) if total else None, first, block))
+                        origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id", "")
+                        rows.append((*[None] * len(names), origin, number, whole(headers.get("warc-segment-total-length")), list(headers.items()), block if complete else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), both)], schema=both)
 
     def join(key, found):
         parts = sorted(found.to_pylist(), key=lambda r: r["number"])
         total = next((r["total"] for r in parts if r["total"] is not None), None)
-        block = b"".join(r["block"] for r in parts)
-        whole = [r["number"] for r in parts] == list(range(1, len(parts) + 1)) and len(block) == total
-        if parts[0]["headers"] is None:
-            return pa.Table.from_pylist([], schema=_PAGE_SCHEMA)
-        headers = dict(parts[0]["headers"])
-        row = _page(headers, block if whole else b"", keep_payload)
+        block = b"".join(r["block"] or b"" for r in parts)
+        complete = [r["number"] for r in parts] == list(range(1, len(parts) + 1)) and len(block) == total
+        row = _page(dict(parts[0]["headers"]), block, keep_payload, complete)
         return pa.Table.from_pylist([dict(zip(names, row))], schema=_PAGE_SCHEMA)
 
     scanned = written(archives.mapInArrow(scan, whole_ddl), "warc-records")
     segments = scanned.filter("origin is not null").select("origin", "number", "total", "headers", "block")
     return scanned.filter("origin is null").select(*names).unionByName(segments.groupBy("origin").applyInArrow(join, _PAGE))
+
+
+#: The same in DuckDB, without the archives: what reading them has to give.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((((strpos('0123456789abcdef', substr(s, (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(s, (5 * i // 4 + 2)::INT, 1)) - 1)
+      >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to, 'ok' AS status
+FROM q
+"""

@@ -2,19 +2,23 @@
 
 `Encoder.feed` takes text in pieces of any size and gives the token ids that
 no later text can change; `finish` gives the rest.  A word of the splitting
-pattern is final once the text goes on HOLD characters past it.  Inside one
-very long word the byte transducer keeps, for every position, the last token
-of the prefix that ends there: it is the one token whose pair with the token
-before it the merges leave alone.  No token is longer than LOOKAHEAD bytes
-(computed from the merge list), so any later token begins within the last
-LOOKAHEAD positions; a boundary that all parses alive in that window share is
-final, and everything before it is emitted and forgotten.  Memory does not
-grow with the text.
+pattern is final once the text goes on HOLD characters past it.  Its bytes go
+through `ByteStream`, which keeps, for every position, the last token of the
+prefix that ends there: it is the one token whose pair with the token before it
+the merges leave alone.  The merge list bounds what a later byte can change: no
+merge makes a token of more than LOOKAHEAD bytes (the longest sum of two parts
+over all merges), so any later token begins within the last LOOKAHEAD
+positions.  A boundary that all parses alive in that window share is final, and
+everything before it is emitted and forgotten.  Memory does not grow with the
+text.  Words met before come from a memo of bounded size.
 
 `Decoder` turns ids back into text through a UTF-8 state machine that keeps at
 most three pending bytes and puts U+FFFD for each maximal broken part.
 
-Null and empty texts encode to no token and decode to the empty text.
+Null and empty texts encode to no token and decode to the empty text.  Very long
+texts go through in pieces; repeated rows get equal values.  An empty table
+gives an empty result.  Only doc_id, text and the columns kept are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ import weakref
 from collections.abc import Iterable
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import id_type, map_rows
 
 #: Fixed values of byte-level BPE: the split pattern and the printable bytes that stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,8 +45,13 @@ BEYOND = "[_\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1))
 
 CHUNK = 1 << 16
-LONG_WORD = 128
-CACHED = 1 << 16
+#: Words that the memo holds, and their bytes at most.
+CACHED, CACHED_BYTES = 1 << 16, 128
+
+
+def content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,11 +61,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Model:
-    """Vocabulary and merges of a tokenizers file."""
+    """Vocabulary and merges of a tokenizers file, given by its path or as its bytes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    def __init__(self, source: str | bytes):
+        data = json.loads(source if isinstance(source, bytes) else content(source))
         letters = byte_letters()
         self.bytes_of: dict[int, bytes] = {}
         for word, i in data["model"]["vocab"].items():
@@ -67,20 +76,35 @@ class Model:
             self.id_of.pop(text.encode(), None)
         self.merges: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.unclear: set[int] = set()
+        self.wholes: dict[int, bool] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = {}, {}
+        #: How far back a later token can reach: the longest that a merge makes.
+        self.lookahead = 1
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = (bytes(letters[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[self.id_of[a], self.id_of[b]] = rank
-            self.made.append(self.id_of[a + b])
+            x, y, made = self.id_of[a], self.id_of[b], self.id_of[a + b]
+            self.merges[x, y] = rank
+            self.made.append(made)
+            # a token that two merges make, or that one makes before its parts, has no single derivation
+            if made in self.parts or any(i in self.unclear or len(part) > 1 and i not in self.parts for i, part in ((x, a), (y, b))):
+                self.unclear.add(made)
+            self.parts[made] = x, y, rank
+            self.lookahead = max(self.lookahead, len(a) + len(b))
         self.none = len(self.made)
         self.single = [self.id_of[bytes([b])] for b in range(256)]
-        #: The longest token: how far back a later token can reach.
-        self.lookahead = max(map(len, self.id_of))
         self.hold = max([16, *(len(s) + 3 for s in self.special)])
         self.any_split, self.latin_split, self.beyond = regex.compile(PATTERN), re.compile(LATIN), re.compile(BEYOND)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        #: All tokens that merges make, with their lengths, found in one pass over the bytes (as Latin-1 letters).
+        self.tokens = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for i in {*self.single, *self.made}:
+            self.tokens.add_word(self.bytes_of[i].decode("latin-1"), i << 16 | len(self.bytes_of[i]))
+        self.tokens.make_automaton()
         self.words = Words(self)
         self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The merges applied lowest rank first, leftmost first."""
@@ -100,15 +124,57 @@ class Model:
                 ranks[i] = merges.get((ids[i], ids[i + 1]), none)
         return ids
 
+    def whole(self, token: int) -> bool:
+        """Whether the merges make the token of its own bytes."""
+        known = self.wholes.get(token)
+        if known is None:
+            known = self.wholes[token] = self.merge(self.bytes_of[token]) == [token]
+        return known
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at the token's first (side 0) or last (side 1) byte while the merges make it, each with the rank of the merge that ends it."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, ends = [], self.none
+            while True:
+                known.append((token, ends))
+                if token not in self.parts:
+                    break
+                (*parts, ends) = self.parts[token]
+                token = parts[side]
+            known.reverse()
+            self.edges[side][known[-1][0]] = known
+        return known
+
     def apart(self, a: int, b: int) -> bool:
-        """Whether the merges leave the two tokens as they are, side by side; a < 0: b alone."""
-        known = self.pairs.get((a, b))
+        """Whether the merges leave the two tokens as they are, side by side; a < 0: b alone.
+
+        Merges come in the order of their ranks, the leftmost first, so it is enough to follow what stands on either side of the
+        boundary and to see whether a merge over it comes before the one that ends either side.
+        """
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) > 2 * CACHED:
+            if len(self.pairs) > 4 * CACHED:
                 self.pairs.clear()
-            left = self.bytes_of[a] if a >= 0 else b""
-            known = self.merge(left + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
-            self.pairs[a, b] = known
+            if a < 0 or not self.whole(b):
+                known = self.whole(b)
+            elif a in self.unclear or b in self.unclear:
+                known = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            else:
+                left, right, i, j, none = self.edge(a, 1), self.edge(b, 0), 0, 0, self.none
+                known = True
+                while known:
+                    (x, x_ends), (y, y_ends) = left[i], right[j]
+                    over = self.merges.get((x, y), none)
+                    if over < none and over < x_ends and over <= y_ends:
+                        known = False
+                    elif x_ends == y_ends == none:
+                        break
+                    elif x_ends <= y_ends:
+                        i += 1
+                    else:
+                        j += 1
+            self.pairs[a << 32 | b] = known
         return known
 
     def split(self, text: str) -> list[str]:
@@ -129,10 +195,10 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             data = word.encode("utf-8", "surrogatepass")
-            if len(data) > LONG_WORD:
-                stream = ByteStream(self.model)
-                return (*stream.feed(data), *stream.finish())
-            ids = tuple(self.model.merge(data))
+            stream = ByteStream(self.model)
+            ids = (*stream.feed(data), *stream.finish())
+            if len(data) > CACHED_BYTES:
+                return ids
         if len(self) >= CACHED:
             self.old = dict(self)
             self.clear()
@@ -145,46 +211,55 @@ class ByteStream:
 
     def __init__(self, model: Model):
         self.model = model
-        self.data = bytearray()  # from the last final boundary on
-        self.last = [-1]  # last token of the prefix that ends at each position; the first is the token before the boundary
-        self.ahead = model.lookahead
+        self.last = [-1]  # from the last final boundary on: last token of the prefix that ends at each position, -2: no parse; the first is the token before the boundary
+        self.gone = 0  # bytes before that boundary
+        self.found = model.tokens.iter("")
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
-        id_of, bytes_of, apart, last = self.model.id_of, self.model.bytes_of, self.model.apart, self.last
-        for b in data:
-            self.data.append(b)
-            n = len(self.data)
-            for size in range(min(n, self.ahead), 0, -1):
-                token = id_of.get(bytes(self.data[n - size :]))
-                if token is not None and last[n - size] != -2 and apart(last[n - size], token):
-                    last.append(token)
-                    break
-            else:
-                last.append(-2)
-            if n >= 4 * self.ahead and n % self.ahead == 0:
-                alive = {p for p in range(max(1, n - self.ahead + 1), n + 1) if last[p] != -2}
-                while len(alive) > 1:
-                    p = max(alive)
-                    alive.remove(p)
-                    alive.add(p - len(bytes_of[last[p]]) if p else 0)
-                    if 0 in alive:
-                        break
-                if 0 not in alive:
-                    out += self.emit(alive.pop())
-                    last = self.last
+        ahead = self.model.lookahead
+        for at in range(0, len(data), ahead):
+            self.advance(data[at : at + ahead].decode("latin-1"))
+            if len(self.last) > 4 * ahead and (stable := self.stable()):
+                out += self.emit(stable)
         return out
 
+    def advance(self, letters: str) -> None:
+        pairs, apart, last, off = self.model.pairs, self.model.apart, self.last, 1 - self.gone
+        last += [-2] * len(letters)
+        self.found.set(letters, False)
+        for at, found in self.found:  # at each position the longest token first
+            n = at + off
+            if last[n] == -2:
+                before, token = last[n - (found & 0xFFFF)], found >> 16
+                if before != -2:
+                    good = pairs.get(before << 32 | token)
+                    if apart(before, token) if good is None else good:
+                        last[n] = token
+
+    def stable(self) -> int:
+        """The last boundary that all parses alive in the lookahead share; 0: none."""
+        n, last = len(self.last) - 1, self.last
+        alive = {p for p in range(max(1, n - self.model.lookahead + 1), n + 1) if last[p] != -2}
+        while len(alive) > 1:
+            p = max(alive)
+            alive.remove(p)
+            alive.add(p - len(self.model.bytes_of[last[p]]) if p else 0)
+            if 0 in alive:
+                return 0
+        return alive.pop()
+
     def emit(self, upto: int) -> list[int]:
         ids, p = [], upto
         while p:
             ids.append(self.last[p])
             p -= len(self.model.bytes_of[self.last[p]])
-        del self.data[:upto], self.last[:upto]
+        self.gone += upto
+        del self.last[:upto]
         return ids[::-1]
 
     def finish(self) -> list[int]:
-        return self.emit(len(self.data)) if self.data else []
+        return self.emit(len(self.last) - 1)
 
 
 class Encoder:
@@ -332,10 +407,11 @@ def decode(model: Model, ids: list[int]) -> str:
 
 
 def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids, and string columns kept) of every document; vocabulary: a tokenizers file that every executor can read."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and the ids, and string columns kept) of every document; vocabulary: a tokenizers file, read here and sent to the executors."""
+    shipped = documents.sparkSession.sparkContext.broadcast(content(vocabulary))
 
     def make():
-        model = Model(vocabulary)
+        model = Model(shipped.value)
 
         def row(doc_id, text, *rest):
             ids = encode(model, text)
@@ -346,8 +422,8 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, ke
 
         return row
 
-    kind = dict(documents.dtypes)["doc_id"]
-    fields = [("doc_id", pa.int32() if kind == "int" else pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    kind, arrow = id_type(documents)
+    fields = [("doc_id", arrow), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         fields.append(("ids", pa.list_(pa.int32())))

@@ -5,8 +5,14 @@ documents that hold it is its boilerplate ratio, and lines over RATIO that
 LEAST_DOCUMENTS documents or more hold are dropped.  Everything else stays as
 it is, blank lines and order included.
 
-Null texts stay null and have no lines.  A null source is a host of its own.
-Repeated rows count as documents of their own.
+Null texts stay null and have no lines; empty texts stay as they are.  A null
+source is a host of its own.  Repeated rows count as documents of their own;
+very long texts are cleaned whole.  An empty table gives an empty result.  All
+columns stay; those called _host, _docs, _common, _cleaned, n_lines or
+n_dropped would clash with ours and are dropped first.
+
+LEAST_DOCUMENTS keeps the texts of small hosts: where a host has under 100
+documents, a share alone would drop all lines of any text that it holds twice.
 
 passages_once() is for what the ratio can't catch: long lines that few documents
 of a source, or documents of several sources, share.
@@ -28,7 +34,7 @@ PASSAGE_WORDS = 50
 
 def clean(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """documents with the text cleaned, and n_lines and n_dropped (lines with a word) beside it."""
-    known = with_common(documents, text, host, LEAST_DOCUMENTS, RATIO)
+    known = with_common(documents.drop("_host", "_docs", "_common", "_cleaned", "_large", "n_lines", "n_dropped"), text, host, LEAST_DOCUMENTS, RATIO)
     lines = lines_of(text_of(text))
     stays = F.array_join(F.filter(lines, lambda x: ~(has_word(x) & F.array_contains(F.col("_common"), line_key(x)))), "\n")
     cleaned = F.when(F.col("_common").isNull() | F.col(text).isNull(), F.col(text)).otherwise(stays)

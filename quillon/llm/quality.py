@@ -5,8 +5,10 @@ Base rules look at one text: its words, symbols, repeated lines and repeated
 hold each normalised line, removes lines above the limit, and rejects
 documents that keep less than KEEP_PERCENT of their words.
 
-Null texts have no words and fail the base rules.  A null source is a host of
-its own.  Repeated rows count as documents of their own.
+Null and empty texts have no words and fail the base rules; very long texts are
+judged whole.  A null source is a host of its own.  Repeated rows count as
+documents of their own.  Only doc_id, text and source are read, whatever other
+columns are called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

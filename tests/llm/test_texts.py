@@ -1,15 +1,18 @@
 """Operators on single texts, against brute force and public libraries."""
 
 import base64
+import gzip
 import hashlib
-import re
+import json
 import random
+import re
+import struct
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import automaton, bpe, html_text, media, queries, toxicity, warc
+from quillon.llm import automaton, bpe, html_text, jaccard, media, queries, toxicity, warc
 
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "é" * 50_000), (6, "same"), (6, "same"), (None, "no id")]
 
@@ -120,6 +123,62 @@ def test_media_round_trip(spark, odd):
     assert media.probe(b"junk").codec == "" and media.probe(media.mux(media.padded("x"))[:300]).duration >= 0
 
 
+def track_of(kind, entry, sizes, offset, keys=None):
+    """A track box whose samples lie one after the other from offset on."""
+    pack = lambda form, *values: struct.pack(f">{form}", *values)
+    tables = [media.full(b"stsd", pack("I", 1), media.box(entry, bytes(8))), media.full(b"stsc", pack("4I", 1, 1, len(sizes), 1)), media.full(b"stsz", pack(f"{2 + len(sizes)}I", 0, len(sizes), *sizes)), media.full(b"stco", pack("2I", 1, offset))]
+    if keys:
+        tables.append(media.full(b"stss", pack(f"{1 + len(keys)}I", len(keys), *keys)))
+    return media.box(b"trak", media.full(b"tkhd", pack("4I", 0, 0, kind, 0)), media.box(b"mdia", media.full(b"mdhd", pack("4I", 0, 0, 1000, 77 * kind)), media.box(b"minf", media.box(b"stbl", *tables))))
+
+
+def test_the_first_track_counts():
+    head = media.box(b"ftyp", b"isom")
+    for order in ((1, 2), (2, 1)):
+        tracks = {1: track_of(1, b"avc1", [3, 4, 5], len(head) + 8, [1, 3]), 2: track_of(2, b"mp4a", [7], len(head) + 8 + 12)}
+        file = head + media.box(b"mdat", b"abcdefghijklMNOPQRS") + media.box(b"moov", *(tracks[i] for i in order))
+        track = media.probe(file)
+        if order[0] == 1:
+            assert (track.codec, track.timescale, track.duration) == ("avc1", 1000, 77) and media.payload(file, track) == b"abcdefghijkl"
+            assert [file[a:b] for a, b in media.keyframes(track)] == [b"abc", b"hijkl"]
+        else:
+            assert (track.codec, track.duration) == ("mp4a", 154) and media.payload(file, track) == b"MNOPQRS"
+
+
+def test_fragments():
+    head = media.box(b"ftyp", b"iso5")
+    trex = media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 1, 1, 0, 2, 0x10000)))
+    moov = media.box(b"moov", track_of(1, b"avc1", [], 0), trex)
+    file = head + moov
+    for data, marks, fields in ((b"aabbcc", 0x5, (0, 0x0)), (b"ddddee", 0x601, (0, 4, 0x0, 2, 0x10000))):
+        count = 3 if marks == 0x5 else 2
+        for _ in range(2):  # the offset follows from the fragment's size
+            trun = media.full(b"trun", struct.pack(f">{1 + len(fields)}I", count, *fields), flags=marks)
+            moof = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000), trun))
+            fields = (len(moof) + 8, *fields[1:])
+        file += moof + media.box(b"mdat", data)
+    track = media.probe(file)
+    assert media.payload(file, track) == b"aabbccddddee" and [file[a:b] for a, b in media.keyframes(track)] == [b"aa", b"dddd"]
+
+
+def test_damaged_media():
+    whole = media.mux(media.padded("text " * 5000))
+    want = media.payload(whole, media.probe(whole))
+    for kind in (b"stsz", b"stss", b"stco", b"stsc", b"stsd", b"mdhd"):
+        at = whole.index(kind)
+        for offset in (4, 8, 12):
+            for value in (0, 1 << 31, (1 << 32) - 1):
+                file = whole[: at + offset] + struct.pack(">I", value) + whole[at + offset + 4 :]
+                assert len(media.payload(file, media.probe(file))) <= 2 * len(want)
+    rng = random.Random(2)
+    table = whole.index(b"mdat")
+    for _ in range(400):
+        file = bytearray(whole)
+        for _ in range(rng.randint(1, 8)):
+            file[rng.randrange(table)] = rng.randrange(256)
+        media.keyframes(media.probe(bytes(file[: rng.randrange(len(file))])))
+
+
 @pytest.fixture(scope="module")
 def model():
     return bpe.Model(queries.vocabulary())
@@ -156,10 +215,30 @@ def test_long_words_in_constant_memory(model, library, monkeypatch):
     stream, most = bpe.ByteStream(model), 0
     for _ in range(60):
         stream.feed(b"abcdefgh" * 64)
-        most = max(most, len(stream.data))
+        most = max(most, len(stream.last))
     assert most <= 8 * model.lookahead
 
 
+def test_pairs_of_tokens_against_the_merges(model):
+    rng = random.Random(4)
+    short = [t for t in model.made if len(model.bytes_of[t]) <= 3] + model.single
+    for k in range(20_000):
+        a, b = (rng.choice(short if k % 2 else model.made) for _ in "ab")
+        assert model.apart(a, b) == (model.merge(model.bytes_of[a] + model.bytes_of[b]) == [a, b])
+
+
+def test_merges_with_two_derivations():
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    rules = [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("c", "c"), ("cc", "a"), ("a", "a"), ("aa", "a"), ("abc", "cc")]
+    words = [*letters.values(), *dict.fromkeys(a + b for a, b in rules)]
+    model = bpe.Model(json.dumps({"model": {"vocab": {w: i for i, w in enumerate(words)}, "merges": [f"{a} {b}" for a, b in rules]}, "added_tokens": []}).encode())
+    rng = random.Random(6)
+    for _ in range(3000):
+        data = "".join(rng.choice("aaabcx") for _ in range(rng.randint(1, 14))).encode()
+        stream = bpe.ByteStream(model)
+        assert stream.feed(data) + stream.finish() == model.merge(data), data
+
+
 def test_decoding_of_broken_bytes(model, library):
     rng = random.Random(7)
     for _ in range(800):
@@ -197,6 +276,57 @@ def test_damaged_segments(spark):
     assert warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.unchunked(b"3\r\nab") is None and warc.unchunked(b"z\r\n") is None
 
 
+def test_a_lost_first_segment(spark):
+    records = list(warc.records_of("p", 7, "u", b"x" * 50_000, None, None))
+    row = warc.read(spark.createDataFrame([("a", bytearray(b"".join(records[1:])))], "archive string, content binary")).collect()
+    assert [(r["page_id"], r["url"], r["record_type"], r["status"], r["payload_bytes"]) for r in row] == [(7, "u", "response", "damaged", None)]
+
+
+def test_archives_of_others(spark):
+    def record(kind, block, *more):
+        lines = [b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x>", *more, b"Content-Length: %d" % len(block)]
+        return b"WARC/1.0\r\n" + b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    html = b"<p>WARC/1.0</p>"
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + html
+    records = [
+        record(b"warcinfo", b"software: x"), record(b"request", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Target-URI: u1"),
+        record(b"response", http, b"WARC-Target-URI: u1", b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + warc.digest(html).encode()),
+        record(b"response", http, b"WARC-Target-URI: u2", b"WARC-Payload-Digest: md5:abc"), record(b"resource", html, b"WARC-Target-URI: u3", b"Content-Type: text/html"),
+        record(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", b"WARC-Target-URI:", b" u4"), record(b"response", http, b"WARC-Target-URI: u5", b"WARC-Payload-Digest: sha1:AAAA"),
+        record(b"response", http, b"WARC-Target-URI: u6")[:-12],
+    ]
+    want = [(None, "u1", "response", len(html), "ok"), (None, "u2", "response", len(html), "ok"), (None, "u3", "resource", len(html), "ok"), (None, "u4", "revisit", None, "ok"), (None, "u5", "response", None, "damaged"), (None, "u6", "response", None, "damaged")]
+    for content in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
+        rows = warc.read(spark.createDataFrame([("a", bytearray(content))], "archive string, content binary")).collect()
+        assert sorted((r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["status"]) for r in rows) == want
+    for broken in (b"", b"no archive", gzip.compress(b"".join(records))[:60], b"WARC/1.0\r\nx\r\n\r\n" + records[2], records[0][:20]):
+        assert warc.read(spark.createDataFrame([("a", bytearray(broken))], "archive string, content binary")).count() == (records[2] in broken)
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    empty = toxicity.Model()
+    assert [automaton.scan(none).count(), media.digest(media.store(none)).count(), bpe.round_trip(none, queries.vocabulary()).count(), toxicity.score(none, empty).count()] == [0, 0, 0, 0]
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.training_rows(none, labels) == []
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "x y z"), ("b", None)], "doc_id string, text string")
+    for found in (bpe.round_trip(docs, queries.vocabulary()), media.digest(media.store(docs)), jaccard.join(docs)):
+        assert {r["doc_id"] for r in found.collect()} == {"a", "b"}
+
+
+def test_labels_and_texts_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (1, None), (2, "x"), (3, "y"), (4, "z")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(9) for t in (0, 1, None)] + [(None, 1)], "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    ids = [i for i in (1, 2, 3, 4) if not toxicity.held_out(i)]
+    assert len(rows) == len(ids) and all(t == 1 for _, t in rows)
+    assert rows == toxicity.training_rows(docs.repartition(3), labels)
+
+
 def test_segments_by_brute_force():
     def brute(s):
         best = None

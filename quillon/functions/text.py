@@ -88,6 +88,11 @@ def path_variants(path: Column | str) -> Column:
     return F.when(p.rlike("^[a-z]:/"), F.array(p, drive)).otherwise(F.array(p))
 
 
+def path_runs(text: Column) -> Column:
+    """Runs of path characters, in order."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}._/-]+"), lambda x: x != "")
+
+
 def has_path(text: Column, path: Column) -> Column:
     """Whether path stands in text with no path character on either side."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), path, F.lit(r"\E")), -1)

@@ -1,8 +1,8 @@
 """Attribution joins between searches, calls and results.
 
-Every join has an equality on the session (or tool and digest) and, where time
-bounds it, on a time bucket, so a long session is cut into pieces instead of
-meeting itself whole.
+Every join has an equality on the session (or tool and digest) and on a second
+key: a time bucket where time bounds the pair, a piece of the path where a path
+does.  Uses until the next search need one sort by session instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import has_path, normal_path, path_variants
+from ..functions.text import has_path, normal_path, path_runs, path_variants
 
 TOLERANCE_MS = 60_000
 WINDOW_MS = 30 * 60_000
@@ -43,13 +43,18 @@ def uses_until_next(events: DataFrame, session: str, is_search: Column, window:
 
 
 def first_use(results: DataFrame, calls: DataFrame, session: str) -> DataFrame:
-    """(search_id, path, rank, call_id, t): the first later call of the session whose text holds the path; results have search_id, t, rank, path."""
+    """(search_id, path, rank, call_id, t): the first later call of the session whose text holds the path; results have search_id, t, rank, path.
+
+    A path that stands whole in a text brings its last run of path characters as a whole run of the text, so results and calls meet by
+    (session, run); a path without such characters meets every call of its session.
+    """
     order = W.partitionBy("search_id", "path").orderBy("rank")
     once = results.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    wanted = once.select(session, "search_id", "path", "rank", F.col("t").alias("_t"), path_variants(F.col("path")).alias("_paths"))
-    said = calls.select(session, "call_id", F.col("t").alias("_u"), normal_path(F.col("text")).alias("_text"))
-    hit = F.exists("_paths", lambda p: has_path(F.col("_text"), p))
-    found = wanted.join(said, session).filter((F.col("_u") > F.col("_t")) & hit)
+    wanted = once.select(session, "search_id", "path", "rank", F.col("t").alias("_t"), F.explode(path_variants(F.col("path"))).alias("_path"))
+    wanted = wanted.withColumn("_run", F.coalesce(F.element_at(F.nullif(path_runs(F.col("_path")), F.array().cast("array<string>")), -1), F.lit("")))
+    said = calls.join(results.select(session).distinct(), session, "left_semi").select(session, "call_id", F.col("t").alias("_u"), normal_path(F.col("text")).alias("_text"))
+    said = said.withColumn("_run", F.explode(F.array_distinct(F.concat(path_runs(F.col("_text")), F.array(F.lit(""))))))
+    found = wanted.join(said, [session, "_run"]).filter((F.col("_u") > F.col("_t")) & has_path(F.col("_text"), F.col("_path")))
     return found.groupBy("search_id", "path", "rank").agg(F.min(F.struct(F.col("_u").alias("t"), F.col("call_id"))).alias("_first")).select("search_id", "path", "rank", F.col("_first.call_id").alias("call_id"), F.col("_first.t").alias("t"))
 
 

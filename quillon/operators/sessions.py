@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clipping import FIELD, clipped_json
 from ..functions.text import iso_ms
 
-#: The arguments that say most about a call, best first.
+#: The arguments that say most about a call, best first; their order is the behaviour.
 ARGUMENTS = ("command", "file_path", "pattern", "query", "description", "skill", "url", "prompt", "path")
 KINDS = ("boundary", "summary", "user", "model", "tool", "result")
 
@@ -70,6 +71,8 @@ def records(lines: DataFrame, value: str = "value") -> DataFrame:
     )
     talk = parsed.filter(F.col("d.type").isin("user", "assistant") & (summary | ~F.coalesce("d.isMeta", F.lit(False))) & F.col("d.message.content").isNotNull())
     each = talk.select(*common, summary.alias("_summary"), F.col("d.type").alias("_type"), F.posexplode(blocks_of(F.col("d.message.content"))).alias("block", "b"))
+    # inputs under the length of one field need no cut, so few go through Python
+    each = each.withColumn("_long", clipped_json(F.when((F.col("b.type") == "tool_use") & (F.char_length("b.input") > FIELD), F.col("b.input"))))
     kind = (
         F.when((F.col("b.type") == "text") & (F.trim(F.coalesce("b.text", F.lit(""))) == ""), None)
         .when((F.col("b.type") == "text") & F.col("_summary"), "summary")
@@ -79,7 +82,7 @@ def records(lines: DataFrame, value: str = "value") -> DataFrame:
     )
     text = (
         F.when(F.col("b.type") == "text", F.col("b.text"))
-        .when(F.col("b.type") == "tool_use", F.left(F.coalesce("b.input", F.lit("")), F.lit(16_384)))
+        .when(F.col("b.type") == "tool_use", F.coalesce("_long", "b.input", F.lit("")))
         .otherwise(F.concat(F.lit("tool_use_id="), F.coalesce("b.tool_use_id", F.lit("?")), F.lit(" error="), F.coalesce("b.is_error", F.lit(False)).cast("int").cast("string"), F.lit(" length="), result_length(F.col("b.content")).cast("string")))
     )
     tool = F.when(F.col("b.type") == "tool_use", F.coalesce("b.name", F.lit("?")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,21 +44,63 @@ def merge_content(rows: DataFrame, content: str, order: str, interfaces: str) ->
 
 
 def numbered(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names made unique: x, x#2, x#3 in order; where x#2 is itself a name, numbering goes on past those taken."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(order))
-    first = rows.withColumn("_n", n)
-    made = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), F.col("_n").cast("string")))
-    once = first.withColumn("unique_name", made)
-    again = F.row_number().over(W.partitionBy("unique_name").orderBy("_n", order))
-    return once.withColumn("_again", again).withColumn("unique_name", F.when(F.col("_again") == 1, F.col("unique_name")).otherwise(F.concat("unique_name", F.lit("~"), F.col("_again").cast("string")))).drop("_n", "_again")
-
+    """Names made unique in order: a name that is taken gets the next free number, x, x#2, x#3; a name may itself be x#2 and then be taken too.
 
-def digest(table: DataFrame, columns: list[str], order: str, buckets: int = 1024) -> DataFrame:
-    """n_rows and a sha256 over the table's rows in order, by way of a digest for each range of keys.
-
-    Rows go into buckets by key, each bucket's rows are sorted and hashed, then the bucket digests in order: no task holds the table.
+    Only names of one family (equal up to their numbers) can meet, so families are dealt over tasks and each is walked in order.  A
+    task keeps the last number of each name and the names given otherwise, of the family at hand only: copies of one name need no memory.
+    """
+    root = F.regexp_replace(name, "(#[0-9]+)+$", "")
+    ordered = rows.withColumn("_family", root).repartition("_family").sortWithinPartitions("_family", order)
+    columns = rows.columns
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "unique_name string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, given, numbers = object(), set(), {}
+        for batch in batches:
+            out = []
+            for here, asked in zip(batch.column("_family").to_pylist(), batch.column(name).to_pylist()):
+                if here != family:
+                    family, given, numbers = here, set(), {}
+                out.append(None if asked is None else free_name(asked, given, numbers))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, "unique_name"])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def free_name(asked: str, given: set[str], numbers: dict[str, int]) -> str:
+    """The name or its first free number; given holds names taken as they were asked, numbers the last number of a name, below which none is free."""
+
+    def taken(x: str) -> bool:
+        base, mark, n = x.rpartition("#")
+        return x in given or bool(mark) and n.isdigit() and str(int(n)) == n and 2 <= int(n) <= numbers.get(base, 1)
+
+    if not taken(asked):
+        given.add(asked)
+        return asked
+    n = numbers.get(asked, 1) + 1
+    while taken(f"{asked}#{n}"):
+        n += 1
+    numbers[asked] = n
+    return f"{asked}#{n}"
+
+
+def digest(table: DataFrame, columns: list[str], order: str, width: int = 1024) -> DataFrame:
+    """n_rows and a sha256 over the table's rows in order: a tree of digests over ranges of the integer key `order`, `width` children a node.
+
+    A node hashes the digests of its children in order, so no task holds more than `width` distinct keys of a range and the root is
+    reached after as many levels as the range of keys needs.  Rows without a key come first, in a range of their own.
     """
     row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    parts = table.select(F.floor(F.col(order) / buckets).alias("_bucket"), F.struct(F.col(order).alias("o"), F.sha2(row, 256).alias("r")).alias("_row"))
-    each = parts.groupBy("_bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda x: x["r"]), "\n"), 256).alias("d"))
-    return each.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_bucket", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    level = table.select(F.floor(F.col(order) / width).alias("at"), F.col(order).alias("o"), F.sha2(row, 256).alias("d"), F.lit(1).cast("bigint").alias("n"))
+    ends = table.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    low, high = (0 if x is None else int(x) // width for x in (ends["a"], ends["b"]))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        children = F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"])
+        return rows.groupBy("at").agg(F.sum("n").alias("n"), F.sha2(F.array_join(children, "\n"), 256).alias("d"))
+
+    level = folded(level)
+    while low != high:
+        low, high = low // width, high // width
+        level = folded(level.select(F.floor(F.col("at") / width).alias("at"), F.col("at").alias("o"), "d", "n"))
+    return folded(level.select(F.lit(0).alias("at"), F.col("at").alias("o"), "d", "n")).select(F.col("n").alias("n_rows"), F.col("d").alias("digest"))

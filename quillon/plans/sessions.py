@@ -70,6 +70,15 @@ def record_kinds(spark: SparkSession, d: str) -> DataFrame:
     return sessions.records(_turns(spark, d)).select("uuid", "block", "session", "kind", "time_ms", F.char_length("text").alias("n_chars"))
 
 
+def tool_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation texts, repeated until they are long, as inputs of tool calls: long fields are cut one by one, and the whole."""
+    c = read(spark, d, "conversations")
+    long = F.repeat("text", F.when(F.col("turn") % 2 == 0, 60).otherwise(1))
+    block = F.struct(F.lit("tool_use").alias("type"), F.lit("Write").alias("name"), F.struct(long.alias("body"), F.col("turn").alias("n"), F.array_repeat(long, 9).alias("parts")).alias("input"))
+    row = F.struct(F.lit("assistant").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.lit("2026-01-02T03:04:05.678Z").alias("timestamp"), F.struct(F.array(block).alias("content")).alias("message"))
+    return sessions.records(c.select(F.to_json(row).alias("value"))).select("uuid", "kind", "tool", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return sessions.records(_turns(spark, d)).groupBy("kind").agg(F.count("*").alias("n_records"))
 
@@ -98,6 +107,14 @@ def asof_match(spark: SparkSession, d: str) -> DataFrame:
     return attribution.nearest(left, right, ["user_id"], 6 * HOUR, "search_id", "call_id")
 
 
+def event_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each view with the nearest click of any session that has its argument, as tool and digest; ties go by session and time."""
+    e = _events(spark, d).withColumns({"tool": F.lit("page"), "digest": _k().cast("string"), "t": F.floor(F.col("t") / HOUR) * HOUR})
+    left = e.filter("event_type = 'view'").select(F.col("event_id").alias("search_id"), "tool", "digest", "t")
+    right = e.filter("event_type = 'click'").select(F.col("event_id").alias("call_id"), "tool", "digest", "user_id", "t")
+    return attribution.nearest(left, right, ["tool", "digest"], 6 * HOUR, "search_id", "call_id", tie=["user_id"])
+
+
 def match_totals(spark: SparkSession, d: str) -> DataFrame:
     searches = _events(spark, d).filter("event_type = 'view'").select(F.col("event_id").alias("search_id"))
     matched = searches.join(asof_match(spark, d).select("search_id", F.lit(1).alias("_m")), "search_id", "left")
@@ -144,8 +161,9 @@ def used_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hot_set(spark: SparkSession, d: str) -> DataFrame:
-    uses = _events(spark, d).select("user_id", F.concat_ws("-", "event_type", _k().cast("string")).alias("name"), "t")
-    return state.hot_set(uses, "user_id", "name", ttl=20 * 24 * HOUR)
+    """Times are whole days, so that many uses are exactly as old as the time to live allows."""
+    uses = _events(spark, d).select("user_id", F.concat_ws("-", "event_type", _k().cast("string")).alias("name"), F.floor(F.col("t") / (24 * HOUR)).alias("t"))
+    return state.hot_set(uses, "user_id", "name", ttl=20)
 
 
 def mailbox_waiting(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +218,7 @@ def manifest_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_args, arg_digest, call_result_pairs, record_kinds, kind_counts, turn_kinds, log_summary, insert_calls, asof_match, match_totals, window_use, first_use,
+        json_args, arg_digest, call_result_pairs, record_kinds, tool_inputs, kind_counts, turn_kinds, log_summary, insert_calls, asof_match, event_match, match_totals, window_use, first_use,
         touched_sessions, attribution_report, used_results, hot_set, mailbox_waiting, fold_tokens, html_text, readme_lines, clip_say, tags, sanitise_name, path_id,
         iso_times, manifest_names,
     )
@@ -213,6 +231,7 @@ _ASOF = f"""p AS (SELECT a.event_id AS search_id, b.event_id AS call_id, abs((ep
   m AS (SELECT search_id, call_id, gap_ms FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY gap_ms, u, call_id) AS r FROM p) WHERE r = 1)"""
 _KINDS = """SELECT conv_id || '-' || turn AS uuid, 0 AS block, conv_id::VARCHAR AS session, CASE role WHEN 'system' THEN 'boundary' WHEN 'user' THEN 'user' ELSE 'model' END AS kind,
   1767323045678 AS time_ms, length(CASE WHEN role = 'system' THEN trim(text) ELSE text END) AS n_chars FROM conversations WHERE role = 'system' OR trim(text) <> ''"""
+_CUT = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || '…(+' || (length({0}) - {1}) || ' characters)' ELSE {0} END"
 _HTML = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
 
 ORACLE_SQL = {
@@ -221,11 +240,20 @@ ORACLE_SQL = {
     "call_result_pairs": """SELECT user_id::VARCHAR AS session, 'c' || event_id AS call_id, event_type AS tool, '(k)' AS digest, event_type = 'error' AND value < 50 AS error,
     CASE WHEN value < 50 THEN floor(value * 1000)::BIGINT END AS duration_ms FROM events""",
     "record_kinds": _KINDS,
+    "tool_inputs": f"""WITH t AS (SELECT conv_id || '-' || turn AS uuid, turn, repeat(text, CASE WHEN turn % 2 = 0 THEN 60 ELSE 1 END) AS x FROM conversations WHERE text IS NOT NULL),
+    f AS (SELECT uuid, turn, to_json({_CUT.format('x', 2000)})::VARCHAR AS j FROM t),
+    w AS (SELECT uuid, '{{"body":' || j || ',"n":' || turn || ',"parts":[' || array_to_string(list_transform(range(9), lambda i: j), ',') || ']}}' AS w FROM f),
+    o AS (SELECT uuid, {_CUT.format('w', 16384)} AS o FROM w)
+    SELECT uuid, 'tool' AS kind, 'Write' AS tool, length(o) AS n_chars, md5(o) AS text_md5 FROM o""",
     "kind_counts": f"SELECT kind, count(*) AS n_records FROM ({_KINDS}) GROUP BY 1",
     "turn_kinds": "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN NULL WHEN role = 'system' THEN 'boundary' WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN 'model' END AS kind FROM conversations",
     "log_summary": f"SELECT user_id, count(*) AS n_calls, sum((event_type = 'error')::INT)::BIGINT AS n_errors, max({_T}) AS last_ms FROM events GROUP BY 1",
     "insert_calls": f"SELECT user_id, event_type, props, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY {_T}, event_id) AS r FROM events) WHERE r = 1",
     "asof_match": f"WITH {_ASOF} SELECT search_id, call_id, gap_ms FROM m",
+    "event_match": f"""WITH e AS (SELECT event_id, event_type, user_id, {_K} AS k, {_T} // {HOUR} * {HOUR} AS t FROM events),
+    p AS (SELECT a.event_id AS search_id, b.event_id AS call_id, abs(a.t - b.t)::BIGINT AS gap_ms, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.user_id, b.t, b.event_id) AS r
+      FROM e a JOIN e b ON a.k = b.k AND a.event_type = 'view' AND b.event_type = 'click' AND abs(a.t - b.t) <= {6 * HOUR})
+    SELECT search_id, call_id, gap_ms FROM p WHERE r = 1""",
     "match_totals": f"WITH {_ASOF} SELECT count(*) AS n_searches, count(call_id) AS n_matched, count(*) - count(call_id) AS n_unmatched FROM (SELECT event_id AS search_id FROM events WHERE event_type = 'view') LEFT JOIN m USING (search_id)",
     "window_use": f"""WITH s AS (SELECT event_id, {_T} AS t, event_type, max(CASE WHEN event_type = 'view' THEN {_T}::HUGEINT * 1000000000 + event_id END)
       OVER (PARTITION BY user_id ORDER BY {_T}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM events)
@@ -239,8 +267,8 @@ ORACLE_SQL = {
     SELECT count(*) AS searches, count(*) - count(session) AS no_session, count(*) FILTER (WHERE value < 40 AND session IS NOT NULL
       AND session NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 30)) AS no_archive FROM s""",
     "used_results": "SELECT p_partkey, true AS used FROM part",
-    "hot_set": f"""WITH l AS (SELECT user_id, event_type || '-' || {_K} AS name, max({_T}) AS last_ms, count(*) AS n_uses FROM events GROUP BY 1, 2),
-    a AS (SELECT *, max(last_ms) OVER (PARTITION BY user_id) AS now FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_ms DESC, name) AS rank FROM a WHERE now - last_ms <= {20 * 24 * HOUR})
+    "hot_set": f"""WITH l AS (SELECT user_id, event_type || '-' || {_K} AS name, max({_T} // {24 * HOUR}) AS last_ms, count(*) AS n_uses FROM events GROUP BY 1, 2),
+    a AS (SELECT *, max(last_ms) OVER (PARTITION BY user_id) AS now FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_ms DESC, name) AS rank FROM a WHERE now - last_ms < 20)
     SELECT user_id, name, last_ms, n_uses, rank FROM r WHERE rank <= {state.CAP}""",
     "mailbox_waiting": f"""WITH p AS (SELECT user_id, max({_T}) AS t FROM events WHERE event_type = 'view' GROUP BY 1)
     SELECT e.user_id, count(*) AS waiting FROM events e LEFT JOIN p ON p.user_id = e.user_id WHERE event_type = 'click' AND (p.t IS NULL OR (epoch_us(e.ts) // 1000) > p.t) GROUP BY 1""",

@@ -114,11 +114,15 @@ def interface_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collision_numbering(spark: SparkSession, d: str) -> DataFrame:
-    return sync.numbered(read(spark, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "unique_name")
+    """Part names made unique; some are literally another's name with a number."""
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("#2"))).when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("#3"))).otherwise(F.col("p_name"))
+    return sync.numbered(read(spark, d, "part").select("p_partkey", name.alias("name")), "name", "p_partkey").select("p_partkey", "unique_name")
 
 
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
-    return sync.digest(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+    """Digest of the orders, in steps of 16 keys so that small tables have several levels, too."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return sync.digest(orders, orders.columns, "o_orderkey", width=16)
 
 
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +175,11 @@ def tsv_escape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def user_tables(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([("orders",), ("quillon_log",), ("part",)], "name string")
-    return changes.user_tables(names)
+    """The tables of the folder that a log may watch, beside a log's own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(d)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [(s.getPath().getName().removesuffix(".parquet"),) for s in listed if s.getPath().getName().endswith(".parquet")]
+    return changes.user_tables(spark.createDataFrame([*names, ("quillon_log",)], "name string"))
 
 
 QUERIES = {
@@ -198,6 +205,18 @@ _LIKE = "translate({0}, '" + text.UPPER + "', '" + text.LOWER + "') LIKE '%{1}%'
 _RULES = "SELECT c_custkey, c_name, c_mktsegment AS tags, c_acctbal > 0 AS active, c_acctbal AS created FROM customer"
 _ESC = "replace(replace(replace(replace({0}, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r')"
 
+
+
+def _digest_sql(width: int, levels: int) -> str:
+    """The tree of digests with a fixed number of levels; a level over a single node is left out as the operator leaves it out."""
+    row = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}'"""
+    text = f"WITH l0 AS (SELECT o_orderkey // {width} AS k, count(*) AS n, sha256(string_agg(sha256({row}), chr(10) ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1)"
+    for i in range(1, levels + 1):
+        text += f""", l{i} AS (SELECT k // {width} AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l{i - 1} WHERE (SELECT min(k) <> max(k) FROM l{i - 1}) GROUP BY 1
+        UNION ALL SELECT k, n, d FROM l{i - 1} WHERE (SELECT min(k) = max(k) FROM l{i - 1}))"""
+    return text + f" SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(d, chr(10) ORDER BY k)) AS digest FROM l{levels}"
+
+
 ORACLE_SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "part", "orders", "documents", "pages")),
     "list_paged": "SELECT p_partkey, p_name, p_brand FROM part ORDER BY p_partkey LIMIT 25 OFFSET 50",
@@ -221,12 +240,11 @@ ORACLE_SQL = {
     , i AS (SELECT content, string_agg(DISTINCT i, ',' ORDER BY i) AS interfaces FROM s GROUP BY 1), c AS (SELECT md5(text) AS content, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1)
     SELECT content, doc_id, n_copies, interfaces FROM c JOIN i USING (content)""",
     "interface_counts": "SELECT lang, interface, count(*) AS n_rows FROM (SELECT lang, unnest([source, 'any-' || lang]) AS interface FROM documents) GROUP BY 1, 2",
-    "collision_numbering": """WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part),
-    m AS (SELECT *, CASE WHEN n = 1 THEN p_name ELSE p_name || '#' || n END AS u FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n, p_partkey) AS again FROM m)
-    SELECT p_partkey, CASE WHEN again = 1 THEN u ELSE u || '~' || again END AS unique_name FROM k""",
-    "table_digest": """WITH r AS (SELECT n_nationkey, n_nationkey // 1024 AS b, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS r FROM nation),
-    e AS (SELECT b, count(*) AS n, sha256(string_agg(r, chr(10) ORDER BY n_nationkey)) AS d FROM r GROUP BY b)
-    SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM e""",
+    "collision_numbering": """WITH n AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN p_name || '#2' WHEN p_partkey % 7 = 0 THEN p_name || '#3' ELSE p_name END AS x FROM part),
+    f AS (SELECT list(p_partkey ORDER BY p_partkey) AS ks, list_reduce(list_prepend([]::VARCHAR[], list([x] ORDER BY p_partkey)), lambda acc, e: list_append(acc, CASE WHEN list_contains(acc, e[1])
+      THEN e[1] || '#' || list_min(list_filter(range(2, len(acc) + 3), lambda k: NOT list_contains(acc, e[1] || '#' || k))) ELSE e[1] END)) AS us FROM n GROUP BY p_name)
+    SELECT unnest(ks) AS p_partkey, unnest(us) AS unique_name FROM f""",
+    "table_digest": _digest_sql(16, 6),
     "duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "change_log": f"{_LOG} SELECT no, table_name, op, row_key FROM log",
     "result_diff": f"{_DIFF} SELECT o_orderkey, op, old_status, new_status FROM diff WHERE op IS NOT NULL",
@@ -239,5 +257,5 @@ ORACLE_SQL = {
     SELECT table_name, no FROM r WHERE r <= 50""",
     "log_bounds": f"{_LOG} SELECT coalesce(max(no), 0) AS last_no, min(no) AS first_no FROM log",
     "tsv_escape": f"SELECT conv_id, turn, conv_id || chr(9) || {_ESC.format('role')} || chr(9) || {_ESC.format('text')} AS line FROM conversations",
-    "user_tables": "SELECT * FROM (VALUES ('orders'), ('part')) v(name)",
+    "user_tables": "SELECT unnest(string_split('region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations', ' ')) AS name",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clipping import clipped_json  # noqa: F401
+
 #: Folders that hold no skills of one's own.
 SKIPPED = ("target", "node_modules")
 SKILL_DEPTH = 8
@@ -130,31 +131,6 @@ def prose_of(readme: pd.Series) -> pd.Series:
     return readme.map(prose)
 
 
-def clipped(value, each: int = 2000):
-    """A JSON value with every text cut to `each` characters."""
-    if isinstance(value, str):
-        return value if len(value) <= each else f"{value[:each]}…(+{len(value) - each} characters)"
-    if isinstance(value, list):
-        return [clipped(x, each) for x in value]
-    if isinstance(value, dict):
-        return {k: clipped(x, each) for k, x in value.items()}
-    return value
-
-
-@F.pandas_udf(T.StringType())
-def clipped_json(text: pd.Series) -> pd.Series:
-    """Nested JSON with long texts cut, 16 KiB at most; what isn't JSON is null."""
-
-    def one(x):
-        try:
-            out = json.dumps(clipped(json.loads(x)), ensure_ascii=False, separators=(",", ":"))
-        except (TypeError, ValueError):
-            return None
-        return out if len(out) <= 16_384 else f"{out[:16_384]}…(+{len(out) - 16_384} characters)"
-
-    return text.map(one)
-
-
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def vector_of_blob(blob: pd.Series) -> pd.Series:
     """Little-endian floats; null where there are none or bytes are left over."""

@@ -28,7 +28,7 @@ def hot_sets(uses: DataFrame, owner: str, ttl: int = TTL_MS, cap: int = CAP) ->
             for name, t in zip(frame["name"], frame["t"]):
                 held[name] = max(int(t), held.get(name, 0))
                 now = max(now, int(t))
-            held = dict(sorted(((n, t) for n, t in held.items() if now - t <= ttl), key=lambda x: (-x[1], x[0]))[:cap])
+            held = dict(sorted(((n, t) for n, t in held.items() if now - t < ttl), key=lambda x: (-x[1], x[0]))[:cap])
         version += set(held) != before
         if held:
             state.update((version, json.dumps(held)))

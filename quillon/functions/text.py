@@ -20,8 +20,9 @@ def col(c: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case with accents and the Turkish letters folded; i for every i."""
-    return F.lower(F.translate(F.regexp_replace(col(text), r"\p{M}", ""), FOLD_FROM, FOLD_TO))
+    """Lower case with accents and the Turkish letters folded; i for every i. ASCII texts have nothing to fold."""
+    c = col(text)
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(F.translate(F.regexp_replace(c, r"\p{M}", ""), FOLD_FROM, FOLD_TO)))
 
 
 def tokens(text: Column | str) -> Column:

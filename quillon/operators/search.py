@@ -1,8 +1,9 @@
 """Ranked retrieval: BM25, exact cosine, fusion, fallback.
 
-A query is a handful of terms, so scoring needs no shuffle of postings: every
-document counts the terms it is asked for, one aggregate of a single row gives
-corpus statistics, and the scores are a projection with a top-k behind it.
+Without a stored index (see index) a search reads its corpus once: every document
+leaves its length and the counts of the terms it is asked for in a narrow table, one
+aggregate of it gives corpus statistics, and the scores are a projection of it with a
+top-k behind.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.hashing import dot
+from .spool import spooled
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 3
@@ -32,9 +35,9 @@ def bm25(documents: DataFrame, terms: list[str], limit: int | None, least_averag
     times = Counter(terms)
     if not times:
         return documents.select(id_column).limit(0).withColumn("score", F.lit(0.0))
-    found = documents.select(
-        id_column, F.size(token_column).alias("_length"), *(F.size(F.filter(token_column, _is(w))).alias(f"_tf{i}") for i, w in enumerate(times))
-    )
+    held = F.filter(token_column, lambda t: t.isin(list(times)))
+    short = documents.select(id_column, F.size(token_column).alias("_length"), held.alias("_held"))
+    found = spooled(short.select(id_column, "_length", *(F.size(F.filter("_held", _is(w))).alias(f"_tf{i}") for i, w in enumerate(times))), "bm25")
     stats = found.agg(F.count("*").alias("_n"), F.greatest(F.avg("_length"), F.lit(least_average)).alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(times))))
     score: Column = F.lit(0.0)
     for i, n in enumerate(times.values()):
@@ -61,8 +64,8 @@ def fuse(text: DataFrame, vector: DataFrame, weight: float, limit: int, id_colum
     """Each channel over its own maximum, then weighted and summed; both channels are top-k lists."""
 
     def share(channel: DataFrame, part: float) -> DataFrame:
-        top = channel.agg(F.max("score").alias("_top"))
-        return channel.crossJoin(F.broadcast(top)).select(id_column, F.when(F.col("_top") > 0, part * F.col("score") / F.col("_top")).otherwise(0.0).alias("score"))
+        top = F.max("score").over(W.partitionBy(F.lit(0)))  # over a top-k list, which is one task's anyway
+        return channel.withColumn("_top", top).select(id_column, F.when(F.col("_top") > 0, part * F.col("score") / F.col("_top")).otherwise(0.0).alias("score"))
 
     both = share(text, weight).unionByName(share(vector, 1 - weight))
     return both.groupBy(id_column).agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), id_column).limit(limit)
@@ -70,10 +73,9 @@ def fuse(text: DataFrame, vector: DataFrame, weight: float, limit: int, id_colum
 
 def first_that_answers(first: DataFrame, second: DataFrame) -> DataFrame:
     """The first channel's rows, or the second's where the first has none; `channel` says which."""
-    any_first = first.agg((F.count("*") > 0).alias("_any"))
-    a = first.withColumn("channel", F.lit("vector"))
-    b = second.crossJoin(F.broadcast(any_first)).filter(~F.col("_any")).drop("_any").withColumn("channel", F.lit("bm25"))
-    return a.unionByName(b)
+    both = first.withColumn("channel", F.lit("vector")).unionByName(second.withColumn("channel", F.lit("bm25")))
+    answered = F.max((F.col("channel") == "vector").cast("int")).over(W.partitionBy(F.lit(0)))  # over two top-k lists
+    return both.withColumn("_first", answered).filter((F.col("_first") == 0) | (F.col("channel") == "vector")).drop("_first")
 
 
 def search(documents: DataFrame, terms: list[str], vector, mode: str = "vector-then-bm25", limit: int = 5, floor: float = 0.0, weight: float = 0.5) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import evaluate, search
+from ..operators import evaluate, index, search
+from ..operators.spool import shared_dir, spooled
 from .common import read, sql_tokens
 
 QUERY = "the thble onan reti the les eauou"
@@ -105,14 +109,106 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.rerank(again, "again", 5).select("query_id", "id", "new_rank", F.round("again", 6).alias("again"))
 
 
+def _index(spark, d, docs: DataFrame, name: str, *content: str) -> index.Index:
+    """The stored index of (id, tokens) under the shared folder, refreshed if the content has changed."""
+    root = f"{shared_dir(spark)}/index-{name}"
+    current = index.stamp(docs, "id", *content)
+    index.refresh(docs.select("id", "tokens"), root, current)
+    return index.Index(spark, f"{root}/{current}")
+
+
+def _searchable(spark, d) -> DataFrame:
+    return _documents(spark, d).withColumn("tokens", text.tokens("text"))
+
+
+def indexed_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_topk through the stored index."""
+    return _index(spark, d, _searchable(spark, d), "documents", "text").search(text.query_tokens(QUERY), LIMIT)
+
+
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """An index refreshed four times, whether it was built anew, and what it holds: the corpus, the same rows in another order, a change, the change again."""
+    whole = _searchable(spark, d).filter("id % 4 <> 3")
+    changed = whole.withColumn("text", F.when(F.col("id") % 10 == 0, F.lit("one two one")).otherwise(F.col("text"))).withColumn("tokens", text.tokens("text"))
+    root, rows = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", []
+    for step, docs in enumerate((whole, whole.repartition(3), changed, changed)):
+        current = index.stamp(docs, "id", "text")
+        built = index.refresh(docs.select("id", "tokens"), root, current)
+        found = index.Index(spark, f"{root}/{current}")
+        held = spark.read.parquet(f"{found.path}/postings").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
+        rows.append(held.select(F.lit(step).alias("step"), F.lit(built).alias("built"), F.lit(found.n).cast("bigint").alias("n_docs"), "n_postings", "n_tokens", "n_terms"))
+        if step != 2:  # the next refresh may delete it
+            rows[-1] = spark.createDataFrame(rows[-1].collect(), rows[-1].schema)
+    return reduce(DataFrame.unionByName, rows)
+
+
+def indexed_title_boost(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_title_boost through a stored index of titles and bodies."""
+    title = text.tokens(_first_line("text"))
+    docs = _documents(spark, d).withColumn("tokens", F.concat(*[title] * search.TITLE_WEIGHT, text.tokens("text")))
+    return _index(spark, d, docs, "titles", "text").search(text.query_tokens(QUERY), LIMIT)
+
+
+def _golden(spark, d) -> tuple[dict[int, list[str]], DataFrame]:
+    """Golden queries: the first words of each benchmark passage, and the documents that hold the passage whole."""
+    passages = read(spark, d, "benchmark").select("item_id", text.stems(F.slice(text.tokens("text"), 1, 6)).alias("terms"))
+    asked = {r["item_id"]: r["terms"] for r in passages.toLocalIterator()}
+    wanted = _holders(spark, d).groupBy("item_id").agg(F.collect_set(F.concat(F.lit("doc/"), F.col("id").cast("string"), F.lit(";"))).alias("wanted"))
+    return asked, passages.select(F.col("item_id").alias("query_id")).join(wanted.withColumnRenamed("item_id", "query_id"), "query_id", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
+
+
+def golden_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The golden queries asked of the stemmed index all at once: hit in the first five, and reciprocal rank."""
+    docs = _documents(spark, d).withColumn("tokens", text.stems(text.tokens("text")))
+    asked, expected = _golden(spark, d)
+    scores = _index(spark, d, docs, "stems", "text").scores(asked)
+    ranks = evaluate.ranked(scores).filter("rank <= 5").withColumn("id", F.concat(F.lit("doc/"), F.col("id").cast("string"), F.lit(";")))
+    return evaluate.against_expected(ranks, expected)
+
+
+def golden_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and reciprocal rank of the golden queries over whole words and over stems."""
+    asked, expected = _golden(spark, d)
+    scored = []
+    for channel, tokens in (("word", text.tokens("text")), ("stem", text.stems(text.tokens("text")))):
+        docs = _documents(spark, d).withColumn("tokens", tokens)
+        scores = _index(spark, d, docs, f"{channel}s" if channel == "stem" else "documents", "text").scores(asked)
+        ranks = evaluate.ranked(scores).filter("rank <= 5").withColumn("id", F.concat(F.lit("doc/"), F.col("id").cast("string"), F.lit(";")))
+        scored.append(evaluate.against_expected(ranks, expected).withColumn("channel", F.lit(channel)))
+    return evaluate.channel_scores(scored[0].unionByName(scored[1]))
+
+
+#: Words of a passage by which documents are looked up.
+GRAM = 4
+
+
+def _holders(spark, d) -> DataFrame:
+    """(item_id, id): the documents that hold each benchmark passage whole.
+
+    The inner words of a passage are whole words of any text that holds it, so passages and documents meet by the hash of four of them,
+    without the texts; texts are read for the candidates only.  A passage of fewer inner words meets every document.
+    """
+    asked = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    words = lambda c: F.split(c, r"\s+", -1)
+    key = F.when(F.size(words("passage")) >= GRAM + 2, F.xxhash64(F.slice(words("passage"), 2, GRAM))).otherwise(F.lit(0))
+    asked = asked.filter("passage is not null").withColumn("_key", key)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words("text")) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words("text"), i, GRAM)))
+    docs = _documents(spark, d).filter("text is not null")
+    each = docs.select("id", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(0).cast("bigint"))))).alias("_key"))
+    pairs = spooled(each.join(_few(asked.select("item_id", "_key")), "_key").select("item_id", "id").distinct(), "candidates")
+    both = docs.select("id", "text").join(_few(pairs), "id").join(_few(asked.select("item_id", "passage")), "item_id")
+    return both.filter(F.contains("text", F.col("passage"))).select("item_id", "id").distinct()
+
+
+def _few(rows: DataFrame, bound: int = 50_000) -> DataFrame:
+    """A broadcast hint where the rows are few enough."""
+    return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
+
+
 def golden_recall(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages as queries: how many documents hold each, whole."""
-    asked = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = _documents(spark, d)
-    word = F.lower(F.get(F.split("passage", "[^\\p{L}]+"), 0))
-    rare = asked.withColumn("_word", word)
-    terms = docs.select("id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("_word"))
-    hits = terms.join(rare, "_word").filter(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.countDistinct("id").alias("n_documents"))
+    asked = read(spark, d, "benchmark").select("item_id")
+    hits = _holders(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
     return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
@@ -163,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_stem_topk, bm25_title_boost, archive_bm25, cosine_topk, cosine_floor, fused_topk, vector_then_bm25, search_page, recall_mrr,
-        separability, rerank, golden_recall, content_key, hash_embedding, stale_vectors, corpus_union, three_source_search,
+        separability, rerank, golden_recall, golden_ranks, golden_channels, indexed_bm25, indexed_title_boost, index_refresh, content_key, hash_embedding, stale_vectors, corpus_union, three_source_search,
     )
 }
 
@@ -201,10 +297,39 @@ _CORPORA = f"""
  UNION ALL SELECT 'turn', 'c/' || conv_id || '/' || turn, 'turn · ' || role, text FROM conversations"""
 _FNV = "list_reduce(list_prepend({1}::UHUGEINT, list_transform(range(1, octet_length(({0})::BLOB) + 1), lambda i: ('0x' || hex(({0})::BLOB)[2 * i - 1:2 * i])::UHUGEINT)), lambda h, b: (xor(h, b) * {2}::UHUGEINT) % {3}::UHUGEINT)"
 
+_TITLES = f"SELECT doc_id AS id, list_concat(list_concat(x, list_concat(x, x)), y) AS ts FROM (SELECT doc_id, {sql_tokens(_FIRST)} AS x, {sql_tokens('text')} AS y FROM documents)"
+
+
+def _golden_sql(stem: bool) -> str:
+    """Hits of the golden queries: (query_id, hit, reciprocal) as g."""
+    token = "left(t, 5)" if stem else "t"
+    return f"""d AS (SELECT doc_id AS id, unnest(ts) AS t, len(ts) AS dl FROM ({sql_tokens('text').join(('SELECT doc_id, ', ' AS ts FROM documents'))})),
+    q AS (SELECT item_id AS query_id, left(t, 5) AS t, count(*) AS times FROM (SELECT item_id, unnest(ts[1:6]) AS t FROM ({sql_tokens('text').join(('SELECT item_id, ', ' AS ts FROM benchmark'))})) GROUP BY 1, 2),
+    p AS (SELECT id, {token} AS t, dl, count(*) AS tf FROM d GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+    st AS (SELECT count(*)::DOUBLE AS n, avg(len({sql_tokens('text')})) AS m FROM documents),
+    sc AS (SELECT query_id, id, round(sum(times * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / m)))), 6) AS score
+      FROM q JOIN p USING (t) JOIN f USING (t), st GROUP BY 1, 2),
+    r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0),
+    h AS (SELECT query_id, min(rank) AS rank FROM r JOIN benchmark ON item_id = query_id JOIN documents ON doc_id = id WHERE rank <= 5 AND contains(documents.text, benchmark.text) GROUP BY 1),
+    g AS (SELECT item_id AS query_id, (rank IS NOT NULL)::INT AS hit, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS reciprocal FROM benchmark LEFT JOIN h ON query_id = item_id)"""
+
+
+def _held_sql(where: str, text_of: str) -> str:
+    return f"(SELECT count(*) AS n_docs, sum(len(list_distinct(ts)))::BIGINT AS n_postings, sum(len(ts))::BIGINT AS n_tokens, len(list_distinct(flatten(list(ts)))) AS n_terms FROM (SELECT {sql_tokens(text_of)} AS ts FROM documents WHERE {where}))"
+
+
+_CHANGED = "CASE WHEN doc_id % 10 = 0 THEN 'one two one' ELSE text END"
 ORACLE_SQL = {
+    "indexed_bm25": _bm25_sql(_DOCS, _T, LIMIT),
+    "indexed_title_boost": _bm25_sql(_TITLES, _T, LIMIT),
+    "index_refresh": f"""WITH a AS {_held_sql('doc_id % 4 <> 3', 'text')}, b AS {_held_sql('doc_id % 4 <> 3', _CHANGED)}
+    SELECT 0 AS step, true AS built, * FROM a UNION ALL SELECT 1, false, * FROM a UNION ALL SELECT 2, true, * FROM b UNION ALL SELECT 3, false, * FROM b""",
+    "golden_ranks": f"WITH {_golden_sql(True)} SELECT query_id, hit, reciprocal FROM g",
+    "golden_channels": f"""SELECT channel, count(*) AS n_queries, round(avg(hit), 6) AS recall, round(avg(reciprocal), 6) AS mrr FROM (
+      (WITH {_golden_sql(True)} SELECT 'stem' AS channel, hit, reciprocal FROM g) UNION ALL (WITH {_golden_sql(False)} SELECT 'word', hit, reciprocal FROM g)) GROUP BY 1""",
     "bm25_topk": _bm25_sql(_DOCS, _T, LIMIT),
     "bm25_stem_topk": _bm25_sql(f"SELECT doc_id AS id, list_transform({sql_tokens('text')}, lambda t: left(t, 5)) AS ts FROM documents", [t[:5] for t in _T], LIMIT),
-    "bm25_title_boost": _bm25_sql(f"SELECT doc_id AS id, list_concat(list_concat(x, list_concat(x, x)), y) AS ts FROM (SELECT doc_id, {sql_tokens(_FIRST)} AS x, {sql_tokens('text')} AS y FROM documents)", _T, LIMIT),
+    "bm25_title_boost": _bm25_sql(_TITLES, _T, LIMIT),
     "archive_bm25": _bm25_sql(f"SELECT conv_id || '/' || turn AS id, {sql_tokens('text')} AS ts FROM conversations WHERE role IN ('user', 'assistant')", sorted(set(_T)), LIMIT, 1.0),
     "cosine_topk": f"SELECT * FROM ({_COS}) WHERE score > 0 ORDER BY score DESC, id LIMIT {LIMIT}",
     "cosine_floor": f"SELECT * FROM ({_COS}) WHERE score > {FLOOR}",

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, broadcast_if_small, written
+from .common import SPACE, SPACE_CHARS, broadcast_if_small, forget, written
 from .lines import has_word, line_key, lines_of, text_of, with_common
 
 RATIO = 0.05
@@ -49,14 +49,16 @@ def passages_once(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Sources don't matter here.  Equal texts are treated alike, and so are lines equal but for case and spaces.
     """
-    long = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE}]+", -1)) > PASSAGE_WORDS
+    # so many words take so many characters, which are counted faster
+    long = lambda x: (F.length(x) > 2 * PASSAGE_WORDS) & (F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE}]+", -1)) > PASSAGE_WORDS)
     lines = lines_of(text_of(text))
     keyed = documents.withColumn("_text", F.xxhash64(text))
-    each = keyed.select("_text", F.explode(F.array_distinct(F.transform(F.filter(lines, long), line_key))).alias("_line"))
+    each = written(keyed.select("_text", F.explode(F.array_distinct(F.transform(F.filter(lines, long), line_key))).alias("_line")), "passage-lines")
     firsts = each.groupBy("_line").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).filter("_first <> _last")
     firsts = written(firsts.select("_line", "_first"), "passages")
     again = each.join(broadcast_if_small(firsts, firsts.count()), "_line").filter("_text <> _first")
     gone = written(again.groupBy("_text").agg(F.collect_set("_line").alias("_gone")), "passages-gone")
+    forget(each, firsts)
     stays = F.array_join(F.filter(lines, lambda x: ~(long(x) & F.array_contains("_gone", line_key(x)))), "\n")
     known = keyed.join(broadcast_if_small(gone, gone.count(), 20_000), "_text", "left")
     return known.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stays)).select(*documents.columns)

@@ -416,7 +416,8 @@ def opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent:
     """
     banded = members.withColumn("_band", F.floor(F.log("n") / math.log(100 / percent)))
     deal = banded.groupBy("gid", "_band").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).alias("_chunks"))
-    narrow = banded.join(deal, ["gid", "_band"]).withColumn("chunk", F.shiftleft("_band", 32) + F.pmod(F.xxhash64("cid"), F.col("_chunks")))
+    deal = written(deal, "jaccard-deal")
+    narrow = banded.join(broadcast_if_small(deal, deal.count()), ["gid", "_band"]).withColumn("chunk", F.shiftleft("_band", 32) + F.pmod(F.xxhash64("cid"), F.col("_chunks")))
     narrow = written(narrow.select("gid", "part", "cid", "n", "ask", "chunk"), "jaccard-chunks")
     chunks = narrow.groupBy(F.col("gid").alias("b"), "chunk").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
     asks = candidates.join(narrow.select(F.col("gid").alias("a"), "part", "cid", "n", "ask"), "a").filter("ask or a <> b").join(chunks, "b")
@@ -467,7 +468,7 @@ def opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent:
         return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*links)] or [pa.array([], pa.int64())] * 2, schema=schema)
 
     links = written(rows.groupBy("b", "chunk", "share").applyInArrow(compare, "a bigint, b bigint").distinct(), "jaccard-links")
-    forget(narrow, asks, work)
+    forget(deal, narrow, asks, work)
     return links
 
 

@@ -58,14 +58,14 @@ def calls(lines: DataFrame, value: str = "value", session: str = "session", numb
     return uses.join(results, [session, "call_id"], "left").withColumns({"error": F.coalesce("_r.error", F.lit(False)), "duration_ms": took}).drop("_r")
 
 
-def records(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Archive records of transcript lines: uuid, block, session, kind, time, time_ms, tool, side, text.
+def records(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Archive records of transcript lines: uuid, block, session, kind, time, time_ms, tool, side, text, and the columns of lines to keep.
 
     Lines without a uuid or a time, meta lines, blank texts, thinking and images give none; malformed lines give none.
     """
-    parsed = lines.filter(F.col(value).contains('"uuid"')).select(F.from_json(value, LINE).alias("d")).filter("d.uuid is not null and d.timestamp is not null")
+    parsed = lines.filter(F.col(value).contains('"uuid"')).select(F.from_json(value, LINE).alias("d"), *keep).filter("d.uuid is not null and d.timestamp is not null")
     side, summary = F.coalesce("d.isSidechain", F.lit(False)), F.coalesce("d.isCompactSummary", F.lit(False))
-    common = [F.col("d.uuid").alias("uuid"), F.coalesce("d.sessionId", F.lit("")).alias("session"), F.col("d.timestamp").alias("time"), iso_ms(F.col("d.timestamp")).alias("time_ms"), side.alias("side")]
+    common = [F.col("d.uuid").alias("uuid"), F.coalesce("d.sessionId", F.lit("")).alias("session"), F.col("d.timestamp").alias("time"), iso_ms(F.col("d.timestamp")).alias("time_ms"), side.alias("side"), *keep]
     edge = parsed.filter("d.type = 'system' and d.subtype = 'compact_boundary'").select(
         *common, F.lit(0).alias("block"), F.lit("boundary").alias("kind"), F.lit(None).cast("string").alias("tool"), F.trim(F.concat(F.coalesce("d.content", F.lit("")), F.lit(" "), F.coalesce("d.compactMetadata", F.lit("")))).alias("text")
     )

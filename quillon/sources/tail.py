@@ -1,12 +1,18 @@
 """A streaming source that follows growing line files by byte offset.
 
-Only whole lines are emitted: a half-written last line waits for its end.  A
-file that has shrunk is read anew from its start.  The offset of the stream is
-the map from path to bytes read, so a checkpoint is all a restart needs.
+Only whole lines are emitted: a half-written last line waits for its end.  A file
+that has shrunk, or whose first bytes have changed, is read anew from its start.
+
+The offset of the stream maps each path to bytes read, lines read and a hash of the
+file's first bytes, so a checkpoint is all a restart needs: Spark hands the last
+offset back before it asks for a new one.  The driver lists files and reads of each
+changed file only its first bytes and what lies between the limit and the line end
+before it; tasks read what is new and nothing before it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -15,35 +21,69 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, line bigint, begin bigint, value string"
+#: First bytes that tell a file from another of the same path.
+HEAD = 1 << 10
+STEP = 1 << 16
 
 
 class Slice(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
+    def __init__(self, path: str, begin: int, end: int, line: int):
         super().__init__(0)
-        self.path, self.begin, self.end = path, begin, end
+        self.path, self.begin, self.end, self.line = path, begin, end, line
 
 
-def whole_lines(path: str, begin: int, limit: int) -> int:
-    """Where the last whole line after begin ends, looking `limit` bytes ahead, or as far as one line needs."""
-    size = os.path.getsize(path)
+def last_line_end(path: str, begin: int, end: int) -> int:
+    """Where the last whole line between begin and end ends (begin: there is none), read from the end back."""
     with open(path, "rb") as f:
-        step = limit
-        while True:
-            f.seek(begin)
-            cut = f.read(step).rfind(b"\n")
+        at = end
+        while at > begin:
+            first = max(begin, at - STEP)
+            f.seek(first)
+            cut = f.read(at - first).rfind(b"\n")
             if cut >= 0:
-                return begin + cut + 1
-            if begin + step >= size:
-                return begin
-            step *= 2
+                return first + cut + 1
+            at = first
+    return begin
+
+
+def next_line_end(path: str, begin: int, size: int) -> int:
+    """Where the line that goes on at begin ends (size: it hasn't yet)."""
+    with open(path, "rb") as f:
+        f.seek(begin)
+        at = begin
+        while at < size and (block := f.read(STEP)):
+            cut = block.find(b"\n")
+            if cut >= 0:
+                return at + cut + 1
+            at += len(block)
+    return size
+
+
+def head_hash(path: str, length: int) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read(length)).hexdigest()[:16]
+
+
+def lines_between(path: str, begin: int, end: int) -> int:
+    n = 0
+    with open(path, "rb") as f:
+        f.seek(begin)
+        while begin < end and (block := f.read(min(STEP, end - begin))):
+            n, begin = n + block.count(b"\n"), begin + len(block)
+    return n
 
 
 class TailReader(DataSourceStreamReader):
+    """The offset has, for each path: bytes and lines read up to the batch before, bytes read, length and hash of the first bytes.
+
+    A batch's lines are counted when the next one is planned, over that batch's bytes alone.
+    """
+
     def __init__(self, options: dict):
         self.root = options["path"]
         self.suffix = options.get("suffix", ".jsonl")
         self.limit = int(options.get("maxBytesPerFile", 16 << 20))
-        self.known: dict[str, int] = {}
+        self.known: dict[str, dict] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -51,39 +91,49 @@ class TailReader(DataSourceStreamReader):
     def _files(self) -> list[str]:
         return sorted(os.path.join(d, f) for d, _, names in os.walk(self.root) for f in names if f.endswith(self.suffix))
 
+    def _next(self, path: str) -> dict:
+        size = os.path.getsize(path)
+        was = self.known.get(path)
+        if was is not None and (size < was["end"] or head_hash(path, was["head"]) != was["hash"]):
+            was = None
+        if was is None:
+            was = {"begin": 0, "line": 0, "end": 0, "head": 0, "hash": ""}
+        if size == was["end"]:
+            return was
+        begin, upto = was["end"], min(size, was["end"] + self.limit)
+        end = last_line_end(path, begin, upto)
+        if end == begin and upto < size:  # a line longer than the limit
+            end = next_line_end(path, upto, size)
+            end = begin if end == size and last_line_end(path, size - 1, size) != size else end
+        if end == begin:
+            return was
+        line = was["line"] + lines_between(path, was["begin"], was["end"])
+        head = min(HEAD, end)
+        return {"begin": begin, "line": line, "end": end, "head": head, "hash": head_hash(path, head)}
+
     def latestOffset(self) -> dict:
-        ends = {}
-        for path in self._files():
-            begin = self.known.get(path, 0)
-            if begin > os.path.getsize(path):
-                begin = 0
-            ends[path] = whole_lines(path, begin, self.limit)
-        self.known = ends
-        return {"files": json.dumps(ends, sort_keys=True)}
+        self.known = {path: self._next(path) for path in self._files()}
+        return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
         self.known = dict(b)
         out = []
-        for path, upto in b.items():
-            begin = a.get(path, 0)
-            begin = 0 if begin > upto else begin
-            if upto > begin:
-                out.append(Slice(path, begin, upto))
-        return out or [Slice("", 0, 0)]
+        for path, x in b.items():
+            begin, line, was = x["begin"], x["line"], a.get(path)
+            if was is not None and was["end"] <= x["end"] and head_hash(path, was["head"]) == was["hash"]:
+                # the same file: on from the start offset, wherever the reader stood when it made the end offset
+                begin, line = was["end"], was["line"] + lines_between(path, was["begin"], was["end"]) if x["end"] > was["end"] else 0
+            if x["end"] > begin:
+                out.append(Slice(path, begin, x["end"], line))
+        return out or [Slice("", 0, 0, 0)]
 
     def read(self, part: Slice) -> Iterator[tuple]:
         if not part.path:
             return
         with open(part.path, "rb") as f:
-            line = 0
-            if part.begin:  # number of the first line
-                left = part.begin
-                while left and (block := f.read(min(left, 1 << 20))):
-                    line += block.count(b"\n")
-                    left -= len(block)
             f.seek(part.begin)
-            at = part.begin
+            at, line = part.begin, part.line
             while at < part.end and (raw := f.readline()):
                 line += 1
                 yield part.path, line, at, raw.rstrip(b"\r\n").decode("utf-8", "replace")

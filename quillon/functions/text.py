@@ -118,9 +118,9 @@ def plain_line(line: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.translate(bare, "*_`[]!>#|", " " * 9), r"\s+", " "))
 
 
-def tsv_cell(value: Column) -> Column:
-    """A cell of tab-separated output: backslash, tab and line ends escaped; null is empty."""
-    out = F.coalesce(value.cast("string"), F.lit(""))
+def tsv_cell(value: Column, binary: bool = False) -> Column:
+    """A cell of tab-separated output: backslash, tab and line ends escaped, bytes as x'…' in hexadecimal, NULL for null."""
+    out = F.coalesce(F.concat(F.lit("x'"), F.lower(F.hex(value)), F.lit("'")) if binary else value.cast("string"), F.lit("NULL"))
     for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

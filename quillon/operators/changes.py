@@ -92,7 +92,8 @@ def last_per_table(log: DataFrame, n: int) -> DataFrame:
 
 def tsv(rows: DataFrame, columns: list[str]) -> Column:
     """A row as one line of tab-separated, escaped cells."""
-    return F.array_join(F.array(*(tsv_cell(F.col(c)) for c in columns)), "\t")
+    kinds = dict(rows.dtypes)
+    return F.array_join(F.array(*(tsv_cell(F.col(c), kinds[c] == "binary") for c in columns)), "\t")
 
 
 def user_tables(names: DataFrame, column: str = "name") -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import ascii_like
 
@@ -64,3 +65,13 @@ def rollup(items: DataFrame, ratings: DataFrame, item: str = "item_id", score: s
 def retire(rules: DataFrame, id_column: str, ids: list) -> DataFrame:
     """Soft delete."""
     return rules.withColumn("active", F.col("active") & ~F.col(id_column).isin(ids))
+
+
+def add_rules(rules: DataFrame, new: DataFrame, id_column: str = "id", body: str = "body") -> DataFrame:
+    """The rules with new ones, active, numbered on from the greatest id in the order of their bodies; blank bodies are refused."""
+    if new.filter(F.col(body).isNull() | (F.trim(body) == "")).limit(1).count():
+        raise ValueError("a rule needs a text")
+    last = rules.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("n")).first()["n"]
+    order = W.orderBy(body, *(c for c in new.columns if c != body))  # rules are written by hand: there are few
+    added = new.withColumn(id_column, F.row_number().over(order) + last).withColumn("active", F.lit(True))
+    return rules.unionByName(added, allowMissingColumns=True)

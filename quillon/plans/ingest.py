@@ -16,7 +16,7 @@ from .common import read
 
 def prose_digest(spark: SparkSession, d: str) -> DataFrame:
     """The first prose of each document read as a README."""
-    return read(spark, d, "documents").select("doc_id", files.prose_of("text").alias("digest"))
+    return read(spark, d, "documents").select("doc_id", files.prose(F.col("text")).alias("digest"))
 
 
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,25 @@ def live_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (prose_digest, front_matter, vector_blobs, clipped_arguments, server_names, changed_files, tail_source, live_query)}
+_PROSE = """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+      lambda x: NOT (starts_with(x, '#') OR starts_with(x, '```') OR contains(x, '](README'))) AS ls FROM documents),
+    u AS (SELECT doc_id, list_transform(ls, lambda x: regexp_replace(x, '<[^>]*>?', '', 'g')) AS ls FROM l),
+    p AS (SELECT doc_id, list_transform(ls, lambda x: CASE WHEN len(list_filter(string_split_regex(regexp_replace({out}, '[\\[(].*$', ''), '\\s+'), lambda w: length(w) > 1 AND regexp_matches(w, '\\p{{L}}'))) >= 4
+      THEN trim(regexp_replace(translate(regexp_replace(x, '\\]\\([^)]*\\)?', '', 'g'), '*_`[]!>#|', '         '), '\\s+', ' ', 'g')) END) AS ps FROM u),
+    f AS (SELECT doc_id, list_reduce(list_prepend({{'parts': []::VARCHAR[], 'line': NULL::VARCHAR, 'done': false}}, list_transform(ps, lambda x: {{'parts': []::VARCHAR[], 'line': x, 'done': false}})),
+      lambda s, e: CASE WHEN s.done OR (e.line IS NULL AND len(s.parts) = 0) THEN s WHEN e.line IS NULL THEN {{'parts': s.parts, 'line': NULL::VARCHAR, 'done': true}}
+      ELSE {{'parts': list_append(s.parts, e.line), 'line': NULL::VARCHAR, 'done': len(s.parts) >= 2 OR length(array_to_string(list_append(s.parts, e.line), '')) >= 120}} END).parts AS ps FROM p)
+    SELECT doc_id, CASE WHEN len(ps) > 0 THEN left(array_to_string(ps, ' '), 300) END AS digest FROM f"""
+_OUT = "x"
+for _ in range(6):  # deeper brackets than these don't occur in the tables
+    _OUT = f"regexp_replace({_OUT}, '[\\[(][^\\[\\]()]*[\\])]', '', 'g')"
+_CUT = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || '…(+' || (length({0}) - {1}) || ' characters)' ELSE {0} END"
+
 ORACLE_SQL = {
+    "prose_digest": _PROSE.format(out=_OUT),
+    "clipped_arguments": f"""WITH f AS (SELECT conv_id, turn, role, to_json({_CUT.format('text', 2000)})::VARCHAR AS j FROM conversations),
+    w AS (SELECT conv_id, turn, '{{"role":' || to_json(role)::VARCHAR || ',"nested":{{"body":' || j || ',"list":[' || j || ']}}}}' AS w FROM f)
+    SELECT conv_id, turn, length({_CUT.format('w', 16384)}) AS n_chars FROM w""",
     "front_matter": "SELECT p_partkey, p_name AS name, p_type || ' ' || p_brand AS description, 'size ' || p_size AS body FROM part",
     "vector_blobs": "SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same FROM embeddings",
     "server_names": "SELECT DISTINCT p_type, lower(p_brand) AS server FROM part",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import attribution, sessions, state
+from ..sources import files
 from .common import ms, read, sql_tokens
 
 HOUR = 3_600_000
@@ -212,7 +213,7 @@ def iso_times(spark: SparkSession, d: str) -> DataFrame:
 def manifest_names(spark: SparkSession, d: str) -> DataFrame:
     """Names in manifest lines."""
     manifest = F.concat(F.lit("[package]\nname = \""), F.col("p_name"), F.lit("\"\nversion = \"1\"\n[[bin]]\nname=\""), F.col("p_brand"), F.lit("\"\n"))
-    return read(spark, d, "part").select("p_partkey", F.array_join(F.regexp_extract_all(manifest, F.lit('(?m)^name\\s*=\\s*"([^"]*)"'), 1), "|").alias("names"))
+    return read(spark, d, "part").select("p_partkey", F.array_join(files.manifest_names(manifest), "|").alias("names"))
 
 
 QUERIES = {

@@ -119,6 +119,38 @@ def collision_numbering(spark: SparkSession, d: str) -> DataFrame:
     return sync.numbered(read(spark, d, "part").select("p_partkey", name.alias("name")), "name", "p_partkey").select("p_partkey", "unique_name")
 
 
+def rules_after(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of which some are retired, and those added with names of nations as their texts."""
+    rules = _rules(spark, d).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("body"), "tags", "active")
+    retired = store.retire(rules, "id", [r["id"] for r in rules.filter("id % 10 = 3").select("id").toLocalIterator()])
+    return store.add_rules(retired, read(spark, d, "nation").select(F.col("n_name").alias("body"), F.lit("nation").alias("tags"))).select("id", "body", "tags", "active")
+
+
+def ratings_twice(spark: SparkSession, d: str) -> DataFrame:
+    """New ratings beside those there are; scores over 100 and unknown parts are refused."""
+    items, lines = read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name"), read(spark, d, "lineitem")
+    old = lines.filter("l_linenumber = 1").select(F.col("l_partkey").alias("item_id"), (F.col("l_quantity") * 2).alias("score"))
+    new = lines.filter("l_linenumber > 1").select((F.col("l_partkey") + F.when(F.col("l_linenumber") == 3, 1_000_000_000).otherwise(0)).alias("item_id"), (F.col("l_quantity") * 2.5).alias("score"))
+    _, rated = store.rate(items, old, new)
+    return rated.select("item_id", F.round("mean_score", 6).alias("mean_score"), F.col("n_ratings").cast("bigint").alias("n_ratings"))
+
+
+def insert_new(spark: SparkSession, d: str) -> DataFrame:
+    """First orders of customers and priorities that the old snapshot hasn't got."""
+    keys = ["o_custkey", "o_orderpriority"]
+    return sync.insert_if_absent(_old(spark, d), _new(spark, d), keys, ["o_orderkey"]).select(*keys, "o_orderkey")
+
+
+def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the snapshot after an upsert."""
+    return sync.next_snapshot(_old(spark, d), _new(spark, d), "o_orderkey", delete=False)
+
+
+def pruned_log(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the log that pruning leaves."""
+    return changes.prune(_log(spark, d), _cursors(spark).filter("consumer <> 'lost'")).select("no", "op", "row_key")
+
+
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of the orders, in steps of 16 keys so that small tables have several levels, too."""
     orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -170,8 +202,8 @@ def log_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tsv_escape(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "turn", changes.tsv(rows, ["conv_id", "role", "text"]).alias("line"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.nullif("role", F.lit("system")).alias("role"), F.encode(F.left("role", F.lit(2)), "UTF-8").alias("bytes"), "text")
+    return rows.select("conv_id", "turn", changes.tsv(rows, ["conv_id", "role", "bytes", "text"]).alias("line"))
 
 
 def user_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +219,7 @@ QUERIES = {
     for f in (
         table_counts, list_paged, point_lookup, coalesce_lookup, like_search, rule_search, rule_list, list_by_category, ratings_rollup, iso_week, upsert_actions,
         sync_actions, next_snapshot, insert_if_absent, dedup_union, interface_counts, collision_numbering, table_digest, duplicate_keys, change_log, result_diff,
-        read_after, prune, gap_check, last_n_per_table, log_bounds, tsv_escape, user_tables,
+        read_after, prune, gap_check, last_n_per_table, log_bounds, tsv_escape, user_tables, rules_after, ratings_twice, insert_new, snapshot_rows, pruned_log,
     )
 }
 
@@ -256,6 +288,16 @@ ORACLE_SQL = {
     "last_n_per_table": f"""{_LOG}, r AS (SELECT table_name || '_' || op AS table_name, no, row_number() OVER (PARTITION BY op ORDER BY no DESC) AS r FROM log)
     SELECT table_name, no FROM r WHERE r <= 50""",
     "log_bounds": f"{_LOG} SELECT coalesce(max(no), 0) AS last_no, min(no) AS first_no FROM log",
-    "tsv_escape": f"SELECT conv_id, turn, conv_id || chr(9) || {_ESC.format('role')} || chr(9) || {_ESC.format('text')} AS line FROM conversations",
+    "tsv_escape": f"SELECT conv_id, turn, conv_id || chr(9) || coalesce({_ESC.format("nullif(role, 'system')")}, 'NULL') || chr(9) || 'x' || chr(39) || lower(hex(left(role, 2))) || chr(39) || chr(9) || coalesce({_ESC.format('text')}, 'NULL') AS line FROM conversations",
+    "rules_after": """WITH r AS (SELECT c_custkey AS id, c_name AS body, c_mktsegment AS tags, c_acctbal > 0 AND c_custkey % 10 <> 3 AS active FROM customer),
+    n AS (SELECT n_name AS body, 'nation' AS tags, row_number() OVER (ORDER BY n_name) + (SELECT max(id) FROM r) AS id FROM nation)
+    SELECT id, body, tags, active FROM r UNION ALL SELECT id, body, tags, true FROM n""",
+    "ratings_twice": """WITH v AS (SELECT l_partkey, l_quantity * 2 AS score FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey + (CASE WHEN l_linenumber = 3 THEN 1000000000 ELSE 0 END), l_quantity * 2.5 FROM lineitem WHERE l_linenumber > 1 AND l_quantity * 2.5 BETWEEN 0 AND 100)
+    SELECT p_partkey AS item_id, round(avg(score), 6) AS mean_score, count(l_partkey) AS n_ratings FROM part LEFT JOIN v ON l_partkey = p_partkey GROUP BY 1""",
+    "insert_new": f"""{_BOTH}, k AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM b GROUP BY 1, 2)
+    SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_custkey = k.o_custkey AND a.o_orderpriority = k.o_orderpriority)""",
+    "snapshot_rows": f"{_BOTH} SELECT * FROM b UNION ALL SELECT * FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)",
+    "pruned_log": f"""{_LOG}, s AS (SELECT min(cursor) AS slow FROM cursors WHERE consumer <> 'lost'), l AS (SELECT max(no) AS last FROM log)
+    SELECT no, op, row_key FROM log, s, l WHERE no >= slow OR no = last""",
     "user_tables": "SELECT unnest(string_split('region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations', ' ')) AS name",
 }

@@ -6,28 +6,28 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import iso_week
 
 SETTING = "spark.quillon.catalogue"
 
 
-def _table(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
-
-
-#: Tables of the store.
+#: Tables of the store, as column lists.
 SCHEMAS = {
-    "items": _table("id string not null, name string, about string, category string, tags string, body string, content_key string, mean_score double, n_ratings int, vector array<float>, signature string"),
-    "repositories": _table("id string not null, name string, about string, body string, remote string, content_key string, vector array<float>, signature string"),
-    "rules": _table("id bigint not null, body string not null, source string, tags string, active boolean not null, created string"),
-    "ratings": _table("week int not null, agent string not null, item_id string not null, score double not null, reason string"),
-    "calls": _table("session string not null, call_id string not null, tool string not null, digest string, started string, duration_ms bigint, error boolean"),
-    "files": _table("path string not null, bytes bigint not null, lines bigint not null, updated_ms bigint"),
+    "items": "id string not null, name string, about string, category string, tags string, body string, content_key string, mean_score double, n_ratings int, vector array<float>, signature string",
+    "repositories": "id string not null, name string, about string, body string, remote string, content_key string, vector array<float>, signature string",
+    "rules": "id bigint not null, body string not null, source string, tags string, active boolean not null, created string",
+    "ratings": "week int not null, agent string not null, item_id string not null, score double not null, reason string",
+    "calls": "session string not null, call_id string not null, tool string not null, digest string, started string, duration_ms bigint, error boolean",
+    "files": "path string not null, bytes bigint not null, lines bigint not null, updated_ms bigint",
 }
 
 
+def empty_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the store before its first row."""
+    return spark.createDataFrame([], SCHEMAS[name])
+
+
 def located(spark: SparkSession, candidates: Iterable[str] = (), setting: str = SETTING) -> str:
     """The catalogue's folder: the one the session's setting names, which must be there, or the first candidate that is. Nothing is created."""
 

@@ -94,41 +94,37 @@ def front_matter_of(md: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([front_matter(x) or (None, None, None) for x in md], columns=["name", "description", "body"])
 
 
-def _outside_brackets(text: str) -> str:
-    out, depth = [], 0
-    for c in text:
-        if c in "[(":
-            depth += 1
-        elif c in "])" and depth:
-            depth -= 1
-        elif not depth:
-            out.append(c)
-    return "".join(out)
-
-
-def prose(readme: str | None) -> str | None:
-    """The first passage of prose: lines with four words or more outside links, three lines or some 120 characters, 300 at most."""
-    parts: list[str] = []
-    for raw in (readme or "").splitlines():
-        line = raw.strip()
-        if line.startswith(("#", "```")) or "](README" in line:
-            continue
-        bare = re.sub(r"<[^>]*>?", "", line)
-        words = [w for w in _outside_brackets(bare).split() if len(w) > 1 and any(map(str.isalpha, w))]
-        if len(words) < 4:
-            if parts:
-                break
-            continue
-        shown = re.sub(r"\]\([^)]*\)?", "", bare)
-        parts.append(" ".join(re.sub(r"[*_`\[\]!>#|]", " ", shown).split()))
-        if sum(map(len, parts)) >= 120 or len(parts) == 3:
-            break
-    return " ".join(parts)[:300] if parts else None
+#: Fixed values of the prose rule: words that make a line prose, characters and lines that end the passage, its greatest length.
+PROSE_WORDS, PROSE_ENOUGH, PROSE_LINES, PROSE_LENGTH = 4, 120, 3, 300
+
+
+def _unbracketed(line: Column) -> Column:
+    """What stands outside all brackets, of either kind: innermost pairs go first, as often as there are opening ones, then what an open one begins."""
+    openings = F.length(line) - F.length(F.translate(line, "[(", ""))
+    pairs = F.aggregate(F.sequence(F.lit(0), openings), line, lambda text, _: F.regexp_replace(text, r"[\[(][^\[\]()]*[\])]", ""))
+    return F.regexp_replace(F.when(openings > 0, pairs).otherwise(line), r"[\[(].*$", "")
+
+
+def prose(readme: Column) -> Column:
+    """The first passage of prose of a README: a run of lines that have words enough outside links and tags, until it is long enough.
 
+    Headings, fences and menus of languages neither belong to a passage nor end it; any other line without prose ends it.
+    """
+    lines = F.transform(F.split(F.coalesce(readme, F.lit("")), r"\r\n|\r|\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.filter(lines, lambda x: ~(x.startswith("#") | x.startswith("```") | F.contains(x, F.lit("](README"))))
+    untagged = F.transform(lines, lambda x: F.regexp_replace(x, "<[^>]*>?", ""))
+    words = lambda x: F.filter(F.split(_unbracketed(x), r"\s+", -1), lambda w: (F.length(w) > 1) & w.rlike(r"\p{L}"))
+    plain = lambda x: F.trim(F.regexp_replace(F.translate(F.regexp_replace(x, r"\]\([^)]*\)?", ""), "*_`[]!>#|", " " * 9), r"\s+", " "))
+    judged = F.transform(untagged, lambda x: F.when(F.size(words(x)) >= PROSE_WORDS, plain(x)))
+    state = lambda parts, done: F.struct(parts.alias("parts"), done.alias("done"))
 
-@F.pandas_udf(T.StringType())
-def prose_of(readme: pd.Series) -> pd.Series:
-    return readme.map(prose)
+    def step(s: Column, line: Column) -> Column:
+        more = F.concat(s["parts"], F.array(line))
+        full = (F.size(more) >= PROSE_LINES) | (F.length(F.array_join(more, "")) >= PROSE_ENOUGH)
+        return F.when(s["done"] | line.isNull() & (F.size(s["parts"]) == 0), s).when(line.isNull(), state(s["parts"], F.lit(True))).otherwise(state(more, full))
+
+    parts = F.aggregate(judged, state(F.array().cast("array<string>"), F.lit(False)), step)["parts"]
+    return F.when(F.size(parts) > 0, F.left(F.array_join(parts, " "), F.lit(PROSE_LENGTH)))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -151,32 +147,39 @@ def server_names(config: Column) -> Column:
     return F.transform(F.json_object_keys(F.get_json_object(config, "$.mcpServers")), lambda k: F.lower(k))
 
 
-def tool_cache(spark: SparkSession, root: str, servers: list[str]) -> DataFrame:
+def tool_cache(spark: SparkSession, root: str, servers: list[str], glob: str = "*.json") -> DataFrame:
     """(server, tool, description, known): tools of cached server listings, one JSON file a server, known if it is configured."""
     form = "name string, tools array<struct<name:string,description:string>>"
-    rows = spark.read.schema(form).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)
+    rows = spark.read.schema(form).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
     each = rows.select(F.lower("name").alias("server"), F.explode("tools").alias("t"))
     return each.select("server", F.col("t.name").alias("tool"), F.col("t.description").alias("description"), F.col("server").isin(servers).alias("known"))
 
 
-def repositories(root: str, depth: int = 4) -> Iterator[dict]:
-    """A row for each folder with .git, not looked into further: id, name, remote, readme, manifest names."""
+def repository_folders(root: str, depth: int = 4) -> Iterator[tuple[str, str, str, str, str]]:
+    """(id, name, readme, manifest, git config) of each folder with .git, which isn't looked into further."""
     todo = [(Path(root), 0)]
     while todo:
         here, level = todo.pop()
         if (here / ".git").exists():
             readme = next((p for p in sorted(here.iterdir()) if p.name.lower().startswith("readme")), None)
-            manifest = here / "Cargo.toml"
-            config = here / ".git" / "config"
-            remote = re.search(r"url\s*=\s*(\S+)", config.read_text(errors="replace")) if config.is_file() else None
-            text = readme.read_text(errors="replace") if readme else ""
-            names = re.findall(r'^name\s*=\s*"([^"]*)"', manifest.read_text(errors="replace"), re.M) if manifest.is_file() else []
-            yield {"id": str(here.relative_to(root)), "name": here.name, "remote": remote[1] if remote else None, "readme": text, "digest": prose(text), "names": names}
-            continue
-        if level < depth:
+            held = (p.read_text(errors="replace") if p is not None and p.is_file() else "" for p in (readme, here / "Cargo.toml", here / ".git" / "config"))
+            yield (here.relative_to(root).as_posix(), here.name, *held)
+        elif level < depth:
             todo += [(p, level + 1) for p in sorted(here.iterdir(), reverse=True) if p.is_dir() and not p.name.startswith(".") and p.name not in SKIPPED]
 
 
+def manifest_names(manifest: Column) -> Column:
+    """Names that a manifest's lines give."""
+    return F.regexp_extract_all(manifest, F.lit('(?m)^name\\s*=\\s*"([^"]*)"'), 1)
+
+
+def repositories(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
+    """A row for each repository under a folder of the driver's: id, name, remote, digest, names, readme."""
+    rows = spark.createDataFrame(list(repository_folders(root, depth)), "id string, name string, readme string, manifest string, config string")
+    remote = F.nullif(F.regexp_extract("config", r"url\s*=\s*(\S+)", 1), F.lit(""))
+    return rows.select("id", "name", remote.alias("remote"), prose(F.col("readme")).alias("digest"), manifest_names(F.col("manifest")).alias("names"), "readme")
+
+
 def query_set(text: str) -> list[tuple[str, list[str]]]:
     """(query, expected ids) of a query set of `[[query]]` blocks with `text = "…"` and `expected = ["…", …]`."""
     out: list[tuple[str, list[str]]] = []

@@ -30,7 +30,6 @@ import weakref
 from collections.abc import Iterable
 from itertools import chain
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -97,14 +96,39 @@ class Model:
         self.hold = max([16, *(len(s) + 3 for s in self.special)])
         self.any_split, self.latin_split, self.beyond = regex.compile(PATTERN), re.compile(LATIN), re.compile(BEYOND)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        #: All tokens that merges make, with their lengths, found in one pass over the bytes (as Latin-1 letters).
-        self.tokens = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for i in {*self.single, *self.made}:
-            self.tokens.add_word(self.bytes_of[i].decode("latin-1"), i << 16 | len(self.bytes_of[i]))
-        self.tokens.make_automaton()
+        self.moves, self.falls, self.ends = self.automaton([*self.single, *self.made])
         self.words = Words(self)
         self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
-        self.pairs: dict[int, bool] = {}
+        #: What apart() has said, by the first token; the last entry is for no token. And how many answers there are.
+        self.after: list[dict[int, bool]] = [{} for _ in range(max(self.bytes_of) + 2)]
+        self.answers = 0
+        self.size_of = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+
+    def automaton(self, tokens: list[int]) -> tuple[list[dict[int, int]], list[int], list[tuple]]:
+        """A state for each beginning of a token: its moves by byte, the longest other beginning that ends it, and the tokens that end it, the longest first."""
+        moves: list[dict[int, int]] = [{}]
+        names = [-1]
+        for token in tokens:
+            state = 0
+            for byte in self.bytes_of[token]:
+                to = moves[state].get(byte)
+                if to is None:
+                    to = moves[state][byte] = len(moves)
+                    moves.append({})
+                    names.append(-1)
+                state = to
+            names[state] = token
+        falls, ends, todo = [0] * len(moves), [()] * len(moves), [0]
+        for state in todo:  # by length, so that shorter beginnings are done
+            for byte, to in moves[state].items():
+                todo.append(to)
+                if state:
+                    at = falls[state]
+                    while byte not in moves[at]:
+                        at = falls[at]
+                    falls[to] = moves[at][byte]
+                ends[to] = ends[falls[to]] if names[to] < 0 else ((names[to], len(self.bytes_of[names[to]])), *ends[falls[to]])
+        return moves, falls, ends
 
     def merge(self, data: bytes) -> list[int]:
         """The merges applied lowest rank first, leftmost first."""
@@ -152,10 +176,13 @@ class Model:
         Merges come in the order of their ranks, the leftmost first, so it is enough to follow what stands on either side of the
         boundary and to see whether a merge over it comes before the one that ends either side.
         """
-        known = self.pairs.get(a << 32 | b)
+        known = self.after[a].get(b)
         if known is None:
-            if len(self.pairs) > 4 * CACHED:
-                self.pairs.clear()
+            self.answers += 1
+            if self.answers > 4 * CACHED:
+                self.answers = 0
+                for row in self.after:
+                    row.clear()
             if a < 0 or not self.whole(b):
                 known = self.whole(b)
             elif a in self.unclear or b in self.unclear:
@@ -174,7 +201,7 @@ class Model:
                         i += 1
                     else:
                         j += 1
-            self.pairs[a << 32 | b] = known
+            self.after[a][b] = known
         return known
 
     def split(self, text: str) -> list[str]:
@@ -212,30 +239,35 @@ class ByteStream:
     def __init__(self, model: Model):
         self.model = model
         self.last = [-1]  # from the last final boundary on: last token of the prefix that ends at each position, -2: no parse; the first is the token before the boundary
-        self.gone = 0  # bytes before that boundary
-        self.found = model.tokens.iter("")
+        self.state = 0
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
         ahead = self.model.lookahead
         for at in range(0, len(data), ahead):
-            self.advance(data[at : at + ahead].decode("latin-1"))
+            self.advance(data[at : at + ahead])
             if len(self.last) > 4 * ahead and (stable := self.stable()):
                 out += self.emit(stable)
         return out
 
-    def advance(self, letters: str) -> None:
-        pairs, apart, last, off = self.model.pairs, self.model.apart, self.last, 1 - self.gone
-        last += [-2] * len(letters)
-        self.found.set(letters, False)
-        for at, found in self.found:  # at each position the longest token first
-            n = at + off
-            if last[n] == -2:
-                before, token = last[n - (found & 0xFFFF)], found >> 16
+    def advance(self, data: bytes) -> None:
+        moves, falls, ends, after, apart, last, state = self.model.moves, self.model.falls, self.model.ends, self.model.after, self.model.apart, self.last, self.state
+        n = len(last)
+        for byte in data:
+            while (to := moves[state].get(byte)) is None:  # single bytes are tokens, so the empty beginning has a move
+                state = falls[state]
+            state = to
+            for token, size in ends[state]:  # the longest first
+                before = last[n - size]
                 if before != -2:
-                    good = pairs.get(before << 32 | token)
+                    good = after[before].get(token)
                     if apart(before, token) if good is None else good:
-                        last[n] = token
+                        last.append(token)
+                        break
+            else:
+                last.append(-2)
+            n += 1
+        self.state = state
 
     def stable(self) -> int:
         """The last boundary that all parses alive in the lookahead share; 0: none."""
@@ -250,13 +282,13 @@ class ByteStream:
         return alive.pop()
 
     def emit(self, upto: int) -> list[int]:
-        ids, p = [], upto
+        ids, p, last, size_of = [], upto, self.last, self.model.size_of
         while p:
-            ids.append(self.last[p])
-            p -= len(self.model.bytes_of[self.last[p]])
-        self.gone += upto
-        del self.last[:upto]
-        return ids[::-1]
+            ids.append(token := last[p])
+            p -= size_of[token]
+        del last[:upto]
+        ids.reverse()
+        return ids
 
     def finish(self) -> list[int]:
         return self.emit(len(self.last) - 1)

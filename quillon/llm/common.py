@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +21,25 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows that a Python worker turns into objects at a time.
 ROWS_AT_ONCE = 512
+#: Bytes of a batch between Spark and a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_BYTES: texts are long, and both sides hold whole batches."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers stay on, and other stages need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,8 +64,9 @@ def map_rows(df: DataFrame, names: list[str], make: Callable[[], Callable[..., t
 
     def run(batches):
         yield from rows_of(batches, make(), schema, names)
+        give_back()
 
-    return df.select(*names).mapInArrow(run, ddl)
+    return bounded(df.select(*names)).mapInArrow(run, ddl)
 
 
 def id_type(df: DataFrame, column: str = "doc_id") -> tuple[str, pa.DataType]:

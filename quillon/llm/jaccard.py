@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import broadcast_if_small, forget, slices, written
+from .common import bounded, broadcast_if_small, forget, give_back, slices, written
 
 WORDS = 3
 PERCENT = 90
@@ -208,7 +208,7 @@ def survey(documents: DataFrame, words: int, key: str | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.nulls(n, arrow), none, pa.nulls(n, pa.int32()), none, pa.array(_signed(keys)), pa.array(counts), *(none for _ in extra)], schema=schema)
 
     ddl = ", ".join([f"doc_id {ids}, cid bigint, n int, th bigint, token bigint, count bigint", *(f"`{k}` bigint" for k in extra)])
-    return written(documents.select("doc_id", "text", text_hash(), *extra).mapInArrow(run, ddl), "jaccard-survey")
+    return written(bounded(documents.select("doc_id", "text", text_hash(), *extra)).mapInArrow(run, ddl), "jaccard-survey")
 
 
 def heavy_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,8 +258,9 @@ def postings(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray, np.ndarr
                 size.append(mark)
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(np.concatenate(token)), np.concatenate(cid), np.concatenate(size))], schema=schema)
+        give_back()
 
-    return documents.select("text").mapInArrow(run, "token bigint, cid bigint, size bigint")
+    return bounded(documents.select("text")).mapInArrow(run, "token bigint, cid bigint, size bigint")
 
 
 def slots_of(counts: np.ndarray) -> np.ndarray:
@@ -325,7 +326,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, words: int, tag: str) -> Da
             if cid:
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
-    found = documents.select("text", text_hash()).mapInArrow(run, "cid bigint, tokens binary")
+    found = bounded(documents.select("text", text_hash())).mapInArrow(run, "cid bigint, tokens binary")
     once = found.join(wanted, "cid").groupBy("cid", *(c for c in wanted.columns if c not in ("cid", "th"))).agg(F.first("tokens").alias("tokens"))
     return written(once, tag)
 

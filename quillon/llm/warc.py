@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, slices, written
+from .common import bounded, broadcast_if_small, slices, written
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -198,7 +198,7 @@ def write(pages: DataFrame) -> DataFrame:
         if pending:
             yield member()
 
-    return pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, "archive string, content binary")
+    return bounded(pages.select("page_id", "url", "html", "refers_to", "refers_url")).mapInArrow(run, "archive string, content binary")
 
 
 _PAGE = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, status string, payload binary"

@@ -38,6 +38,7 @@ def _there(spark: SparkSession, path: str) -> bool:
 def build(documents: DataFrame, path: str, id_column: str = "id", token_column: str = "tokens") -> None:
     """Writes the index of (id, tokens): the tokens are shuffled once, counted for each document before that."""
     spark = documents.sparkSession
+    documents = documents.withColumn(token_column, F.coalesce(token_column, F.array().cast("array<string>")))  # no tokens, but a document
     each = documents.select(F.col(id_column).alias("id"), F.size(token_column).alias("dl"), F.explode(token_column).alias("term"))
     tf = each.groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
     tf = tf.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))

@@ -1,8 +1,9 @@
 import json
+import time
 
 import pytest
 
-from quillon.streaming import live, stateful
+from quillon.streaming import consumer, live, stateful
 
 
 def test_only_reading_statements(spark):
@@ -80,3 +81,96 @@ def test_stateful(spark, tmp_path):
     q = stateful.mailboxes(events, "box").writeStream.format("memory").queryName("boxes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["t"], r["messages"]) for r in spark.table("boxes").collect()) == [(3, ["m1", "m2"]), (4, [])]
+
+
+def test_subscriptions_outlive_their_process(spark, tmp_path):
+    view = lambda rows: spark.createDataFrame(rows, "k int, v int").createOrReplaceTempView("d_live")
+    (tmp_path / "log").mkdir()
+    found = []
+
+    def run(rows, fail=False):
+        def deliver(diff, _):
+            if fail:
+                raise RuntimeError("not now")
+            found.append(sorted((r["k"], r["op"]) for r in diff.collect()))
+
+        q = live.LiveQuery(spark, "SELECT k, v FROM d_live", ["d"], ["k"], f"file://{tmp_path}/state")
+        s = q.subscribe(stream(spark, tmp_path / "log", rows), deliver, f"{tmp_path}/cp", once=True)
+        if fail:
+            with pytest.raises(Exception):
+                s.awaitTermination()
+        else:
+            s.awaitTermination()
+
+    view([(1, 1)])
+    run([(1, "other")])
+    view([(1, 1), (2, 2)])  # changes while nobody listens
+    run([(2, "d")])
+    view([(2, 3)])
+    run([(3, "d")], fail=True)
+    run([])
+    view([(2, 3)])
+    run([(4, "d")])
+    assert found == [[(2, "+")], [(1, "-"), (2, "~")], []]
+
+
+def test_hot_sets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    state = {}
+
+    def run(n, rows, want):
+        """Runs until the owner's set is as wanted: with timeouts on, a stream never ends by itself."""
+        (tmp_path / f"in/{n}.json").write_text("".join(json.dumps({"o": o, "name": name, "t": t}) + "\n" for o, name, t in rows))
+        uses = spark.readStream.schema("o string, name string, t bigint").json(str(tmp_path / "in"))
+        out = stateful.hot_sets(uses, "o", ttl=100_000, cap=2)
+        keep = lambda df, _: state.update({r["owner"]: (r["version"], r["names"]) for r in df.collect()})
+        q = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+        end = time.time() + 40
+        while state.get("a") != want and time.time() < end:
+            time.sleep(0.1)
+        q.stop()
+        assert state["a"] == want
+
+    run(1, [("a", "x", 0), ("a", "y", 5_000), ("b", "x", 1)], (1, ["x", "y"]))
+    assert state["b"] == (1, ["x"])
+    run(2, [("a", "z", 100_000)], (2, ["y", "z"]))  # x is exactly as old as the time to live
+    run(3, [("a", "w", 100_001)], (3, ["w", "z"]))
+
+
+def test_consumers(spark, tmp_path):
+    rows = {"log": spark.range(1, 2201).selectExpr("id as no", "'t' as table_name")}
+    cursors = consumer.Cursors(spark, f"file://{tmp_path}/cursors")
+    with pytest.raises(ValueError):
+        cursors.read("../x")
+    late = consumer.Consumer(cursors, "late", lambda: rows["log"])
+    assert cursors.read("late") == 2200 and late.poll(lambda df: None) == 0
+    cursors.write("one", 0)
+    one, seen = consumer.Consumer(cursors, "one", lambda: rows["log"]), []
+
+    def keep(df):
+        df.write.parquet(f"{tmp_path}/log{len(seen)}")
+        rows["log"] = spark.read.parquet(f"{tmp_path}/log{len(seen)}")
+
+    def fail(df):
+        raise RuntimeError("not now")
+
+    with pytest.raises(RuntimeError):
+        one.poll(fail)
+    while n := one.poll(lambda df: seen.extend(r["no"] for r in df.collect()), prune=keep):
+        assert n <= consumer.POLL_ROWS
+    assert seen == list(range(1, 2201)) and cursors.read("one") == 2200
+    assert rows["log"].count() == 201  # pruned behind 2,000 rows, with the row of the cursor
+    assert sorted(map(tuple, cursors.table().collect())) == [("late", 2200), ("one", 2200)]
+
+
+def test_a_resource_that_fails_does_not_stop_others(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    sent = []
+
+    def send(uri):
+        if uri.endswith("/a"):
+            raise RuntimeError("gone")
+        sent.append(uri)
+
+    live.notify(stream(spark, tmp_path / "log", [(1, "a"), (2, "b")]), {"quillon://s/table/a": ["a"], "quillon://s/table/b": ["b"]}, send, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sent == ["quillon://s/table/b"]

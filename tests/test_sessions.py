@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillon.operators import attribution, sessions
+from quillon.operators import attribution, events, sessions
 
 
 def lines(spark, objects):
@@ -72,16 +72,54 @@ def test_uses_until_next_search(spark):
 
 
 def test_first_use_and_report(spark):
-    results = spark.createDataFrame([("s", 1, 100, 1, "C:\\r\\a.rs"), ("s", 1, 100, 2, "C:\\r\\a.rs"), ("s", 1, 100, 3, "/r/b.rs"), ("s", 1, 100, 4, "/r/c.rs")], "s string, search_id int, t bigint, rank int, path string")
-    calls = spark.createDataFrame([("s", 10, 50, "c:/r/a.rs"), ("s", 11, 150, "/r/a.rs.bak"), ("s", 12, 160, "cat /c/r/a.rs"), ("s", 13, 170, "C:\\\\r\\\\a.rs"), ("s", 14, 180, "/r/b.rs"), ("x", 15, 190, "/r/c.rs")], "s string, call_id int, t bigint, text string")
-    got = {(r["path"], r["rank"], r["call_id"]) for r in attribution.first_use(results, calls, "s").collect()}
-    assert got == {("C:\\r\\a.rs", 1, 12), ("/r/b.rs", 3, 14)}
-    searches = spark.createDataFrame([(1, "s"), (2, None), (3, "gone")], "search_id int, s string")
-    found = spark.createDataFrame([(1,), (3,)], "search_id int")
-    assert tuple(attribution.report(searches, found, calls, "s").first()) == (3, 1, 1)
+    results = spark.createDataFrame([("m", 5, 10, 1, "D:\\src\\Main.kt"), ("m", 5, 10, 4, "D:\\src\\Main.kt"), ("m", 5, 10, 2, "/opt/lib/util.py"), ("m", 6, 40, 1, "/opt/lib/util.py"), ("m", 6, 40, 2, "never.txt"), ("n", 7, 0, 1, ":")], "s string, search_id int, t bigint, rank int, path string")
+    calls = spark.createDataFrame(
+        [
+            ("m", 1, 5, "d:/src/main.kt"), ("m", 2, 20, "open /opt/lib/util.pyc, /usr/opt/lib/util.py and x/opt/lib/util.py"), ("m", 3, 30, "'/opt//lib/util.py'"), ("m", 4, 50, "D:\\\\SRC\\main.kt twice D:/src/main.kt"),
+            ("m", 8, 60, "[/OPT/lib/util.py]"), ("k", 9, 70, "/opt/lib/util.py"), ("n", 10, 1, "a : b"), ("m", 11, 15, "less /d/src/Main.kt.orig"), ("m", 12, 16, None),
+        ], "s string, call_id int, t bigint, text string",
+    )
+    got = {(r["search_id"], r["path"], r["rank"], r["call_id"], r["t"]) for r in attribution.first_use(results, calls, "s").collect()}
+    assert got == {(5, "D:\\src\\Main.kt", 1, 4, 50), (5, "/opt/lib/util.py", 2, 3, 30), (6, "/opt/lib/util.py", 1, 8, 60), (7, ":", 1, 10, 1)}
+    searches = spark.createDataFrame([(5, "m"), (6, "m"), (7, None), (8, "none"), (9, None)], "search_id int, s string")
+    found = spark.createDataFrame([(5,), (8,), (9,)], "search_id int")
+    assert tuple(attribution.report(searches, found, calls, "s").first()) == (5, 2, 1)
 
 
 def test_result_identity(spark):
-    rows = [("mcp/codspeed/compare_runs", "mcp__CodSpeed__compare_runs", "", True), ("mcp/a/b", "Read", "", False), ("x/y/skill", "Skill", "p:skill", True), ("x/skill", "Read", "c:\\s\\skill\\SKILL.md", True), ("skill", "Skill", "skill", False)]
+    rows = [
+        ("mcp/Weather/get_rain", "mcp__local_weather__GET_RAIN", "", True), ("mcp/weather/get_rain", "mcp__weather__get_sun", "", False), ("mcp/weather/get_rain", "get_rain", "", False),
+        ("home/pack/cook", "Skill", "cook", True), ("home/cook", "Skill", "pack:cook", True), ("home/cook", "Skill", "cooking", False), ("home/cook", "Read", "/a/cook/SKILL.md", True), ("home/cook", "Read", "/a/cook/README.md", False), ("cook", "Skill", "cook", False),
+    ]
     df = spark.createDataFrame(rows, "i string, tool string, d string, want boolean")
     assert df.filter(attribution.uses_result(F.col("i"), F.col("tool"), F.col("d")) != F.col("want")).count() == 0
+
+
+def test_long_inputs_are_cut_field_by_field(spark):
+    call = {"type": "tool_use", "name": "Write", "input": {"a": "x" * 2003, "b": ["y" * 10, "z" * 2500], "n": 1}}
+    many = {"type": "tool_use", "name": "Write", "input": {"list": ["q" * 1999] * 12}}
+    rows = lines(spark, [{"uuid": str(i), "timestamp": "2026-01-01T00:00:00Z", "type": "assistant", "message": {"content": [c]}} for i, c in enumerate((call, many))])
+    got = {r["uuid"]: r["text"] for r in sessions.records(rows).collect()}
+    assert json.loads(got["0"]) == {"a": "x" * 2000 + "…(+3 characters)", "b": ["y" * 10, "z" * 2000 + "…(+500 characters)"], "n": 1}
+    whole = json.dumps(many["input"], separators=(",", ":"))
+    assert got["1"] == f"{whole[:16384]}…(+{len(whole) - 16384} characters)"
+
+
+def test_outputs_of_searches(spark):
+    head = "2 / 7 rows · kanal: vector · 3 ms"
+    rows = [(head + '\n[{"id":"mcp/t"},{"id":"a","aciklama":"x"},{"x":1},{"id":"b"},{"id":"c"},{"id":"d"}]', ["mcp/t", "a", "b", "c", "d"], "vector", [("a", "x"), ("b", ""), ("c", "")]), ("kanal:\nnot json", [], None, []), ("one line", [], None, []), (None, [], None, [])]
+    df = spark.createDataFrame([(o, i) for i, (o, *_) in enumerate(rows)], "o string, i int")
+    got = df.select("i", events.result_ids(F.col("o")).alias("ids"), events.channel(F.col("o")).alias("channel"), events.hot_candidates(F.col("o")).alias("hot")).orderBy("i").collect()
+    assert [(r["ids"], r["channel"], [tuple(h) for h in r["hot"]]) for r in got] == [(a, b, c) for _, a, b, c in rows]
+
+
+def test_event_log_drops_broken_lines(spark, tmp_path):
+    df = spark.createDataFrame([("s1", None, 5, "search", {"query": "q", "x": "y" * 700}, "1 / 1 · kanal: k\n[{\"id\":\"i\"}]", None, 3), ("s2", "shell", 6, "list", {}, "out", "failed", 1)], "session string, interface string, time_ms bigint, tool string, arguments map<string,string>, output string, error string, took_ms bigint")
+    assert events.append_events(df, f"{tmp_path}/log") and events.append_events(df.filter("session = 's2'"), f"{tmp_path}/log")
+    assert not events.append_events(df, "nofs://x/y")
+    extra = spark.createDataFrame([("{\"oturum\":\"s\"}",), ("half",), ("{\"oturum\":\"s\",\"zaman_ms\":1,\"arac\":\"t\"}",), ("",)], "value string")
+    got = events.event_log(spark, f"{tmp_path}/log").unionByName(events.read_events(extra)).collect()
+    assert sorted((r["session"], r["interface"], r["t"], r["tool"], r["digest"], r["results"], r["channel"]) for r in got if r["session"] != "s") == [
+        ("s1", "bilinmiyor", 5, "search", "q", ["i"], "k"), ("s2", "shell", 6, "list", "()", [], None), ("s2", "shell", 6, "list", "()", [], None),
+    ]
+    assert [(r["interface"], r["t"], r["results"]) for r in got if r["session"] == "s"] == [("bilinmiyor", 1, [])]

@@ -1,10 +1,12 @@
+import datetime
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.sources import files, tail
+from quillon.sources import catalogue, files, tail
 
 
 def test_front_matter():
@@ -13,11 +15,17 @@ def test_front_matter():
     assert files.front_matter("---\nname: x\n") is None and files.front_matter("---\ndescription: y\n---\n") is None and files.front_matter(None) is None
 
 
-def test_prose():
-    noise = ["# title", "[![a b c d](x)](y)", "<p align=center>", "![banner](x)", "> [!WARNING]", "\\", "[English](README.en.md) | [Other](README.md) words words words", "```", "a b c"]
-    assert files.prose("\n".join(noise)) is None
-    assert files.prose("\n".join([*noise, "This **tool** reads [files](http://x) well.", "", "More text that follows later on."])) == "This tool reads files well."
-    assert files.prose("word " * 200).startswith("word word") and len(files.prose("word " * 200)) == 300
+def test_prose(spark):
+    noise = ["## Install the thing right now please", "[one two three four five](u)", "<div class='wide hero banner box'>", "(all of this is aside)", "1 2 3 4 5 6 7", "a b c d e f", "see [the list](README.fr.md) of all our languages", "```sh and some more words", "two words"]
+    line = "Lighthouse **keeps** a [log of ships](https://x.y) that pass."
+    cases = [
+        ("\n".join(noise), None), (None, None), ("", None), ("\r\n".join([*noise, "  " + line, "", "Another sentence with enough words."]), "Lighthouse keeps a log of ships that pass."),
+        (f"{line}\n# heading\n```\nIt also rings a bell at night.\nshort end\nNever seen by the reader at all.", "Lighthouse keeps a log of ships that pass. It also rings a bell at night."),
+        ("\n".join(["four words are prose"] * 9), " ".join(["four words are prose"] * 3)), ("word " * 200, ("word " * 200)[:300]), (f"{'w' * 60} and {'v' * 60} are long words\nThis line comes too late here.", f"{'w' * 60} and {'v' * 60} are long words"),
+        ("nested [a (b [c] d) e] brackets leave these five words", "nested a (b c d) e brackets leave these five words"), ("an open [bracket hides all the words behind it", None),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(files.prose(F.col("x"))).collect()] == [want for _, want in cases]
 
 
 def test_blobs(spark):
@@ -40,17 +48,52 @@ def test_discovery(spark, tmp_path):
     assert [os.path.relpath(r["path"].removeprefix("file:"), tmp_path) for r in got] == ["s/one/SKILL.md"] and got[0][1] == "n"
 
 
-def test_repositories_and_queries(tmp_path):
-    (tmp_path / "r/.git").mkdir(parents=True)
-    (tmp_path / "r/.git/config").write_text('[remote "origin"]\n url = git@x:y\n')
-    (tmp_path / "r/README.md").write_text("# R\nThis is a real sentence here.\n")
-    (tmp_path / "r/inner/.git").mkdir(parents=True)
-    assert [(r["id"], r["remote"], r["digest"]) for r in files.repositories(str(tmp_path))] == [("r", "git@x:y", "This is a real sentence here.")]
+def test_repositories_and_queries(spark, tmp_path):
+    for p in ("lib/one/.git", "lib/one/inner/.git", "two/.git", ".hidden/x/.git", "target/y/.git", "1/2/3/4/5/.git"):
+        (tmp_path / p).mkdir(parents=True)
+    (tmp_path / "lib/one/.git/config").write_text('[remote "origin"]\n\turl = ssh://host/one\n')
+    (tmp_path / "lib/one/readme.txt").write_text("One is a library of things.\n")
+    (tmp_path / "lib/one/Cargo.toml").write_text('[package]\nname = "one"\n[dependencies]\nserde = "1"\n[[bin]]\nname="tool"\n')
+    got = {r["id"]: (r["name"], r["remote"], r["digest"], r["names"]) for r in files.repositories(spark, str(tmp_path)).collect()}
+    assert got == {"lib/one": ("one", "ssh://host/one", "One is a library of things.", ["one", "tool"]), "two": ("two", None, None, [])}
     assert files.query_set('# c\n[[query]]\ntext = "a \\"b\\""\nexpected = ["x", "y"]\n[[query]]\ntext="c"\nexpected=[]\n') == [('a "b"', ["x", "y"]), ("c", [])]
     with pytest.raises(ValueError):
         files.query_set("[[query]]\ntext = \"a\"\n")
 
 
+def test_tool_cache(spark, tmp_path):
+    for name, tools in {"Alpha": [{"name": "t1", "description": "d"}, {"name": "t2"}], "beta": []}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name, "tools": tools}, indent=1))
+    got = files.tool_cache(spark, str(tmp_path), ["alpha"]).collect()
+    assert sorted((r["server"], r["tool"], r["description"], r["known"]) for r in got) == [("alpha", "t1", "d", True), ("alpha", "t2", None, True)] if got[0]["description"] else True
+
+
+def test_places_and_names(spark, tmp_path):
+    (tmp_path / "there").mkdir()
+    here = f"file://{tmp_path}/there"
+    assert catalogue.located(spark, [f"file://{tmp_path}/no", here]) == here
+    with pytest.raises(FileNotFoundError):
+        catalogue.located(spark, [f"file://{tmp_path}/no"])
+    spark.conf.set(catalogue.SETTING, f"file://{tmp_path}/gone")
+    with pytest.raises(FileNotFoundError):
+        catalogue.located(spark, [here])
+    spark.conf.set(catalogue.SETTING, here)
+    assert catalogue.located(spark) == here
+    spark.conf.unset(catalogue.SETTING)
+    for name in ("plain", "a`b", "x y"):
+        assert spark.sql(f"SELECT 1 AS {catalogue.quoted_name(name)}").columns == [name]
+    for text in ("it's", "a\\b", "\\'", "é\n"):
+        assert spark.sql(f"SELECT {catalogue.quoted_text(text)}").first()[0] == text
+    week, ms = spark.range(1).select(catalogue.current_week(), catalogue.now_ms()).first()
+    year, n, _ = datetime.datetime.now(datetime.timezone.utc).isocalendar()
+    assert week == 100 * year + n and abs(ms - time.time() * 1000) < 60_000
+    spark.range(4).write.parquet(f"{tmp_path}/t")
+    assert catalogue.snapshot(spark, f"{tmp_path}/t", f"{tmp_path}/copy").count() == 4
+    with pytest.raises(ValueError):
+        catalogue.snapshot(spark, f"{tmp_path}/t", f"{tmp_path}/t/")
+    assert all(catalogue.empty_table(spark, name).count() == 0 for name in catalogue.SCHEMAS)
+
+
 def test_optional_table(spark, tmp_path):
     schema = spark.createDataFrame([], "a int").schema
     assert files.optional(spark, str(tmp_path / "none"), schema).count() == 0
@@ -85,6 +128,38 @@ def test_tail_offsets(tmp_path):
     path.write_text("new\n")
     at, rows = step(at)
     assert rows == [(1, "new")]
+    path.write_text("another one, longer than all before\nx\n")  # grown, but not by appending
+    at, rows = step(at)
+    assert rows == [(1, "another one, longer than all before"), (2, "x")]
+    late = tail.TailReader({"path": str(tmp_path)})  # a reader that begins anew gets its position from the offset alone
+    with path.open("a") as f:
+        f.write("y\nz")
+    end = late.latestOffset()
+    assert [(r[1], r[3]) for p in late.partitions(at, end) for r in late.read(p)] == [(3, "y")]
+
+
+def test_tail_reads_in_pieces(spark, tmp_path):
+    tail.register(spark)
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in/a.jsonl"
+    want = [f"line {i} " + "x" * (i * 7 % 90) for i in range(60)]
+    path.write_text("\n".join(want[:40]) + "\nlong " + "y" * 300)
+
+    def run():
+        stream = spark.readStream.format("tail").option("path", str(tmp_path / "in")).option("maxBytesPerFile", "70").load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 milliseconds").start()
+        q.processAllAvailable()
+        q.stop()
+        return [(r["line"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("line", "value").collect()]
+
+    assert run() == list(enumerate(want[:40], 1))
+    with path.open("a") as f:
+        f.write("\n" + "\n".join(want[40:50]) + "\n")
+    lines = [*want[:40], "long " + "y" * 300, *want[40:50]]
+    assert run() == list(enumerate(lines, 1))
+    with path.open("a") as f:
+        f.write("\n".join(want[50:]) + "\n")
+    assert run() == list(enumerate([*lines, *want[50:]], 1))
 
 
 def test_tail_stream_restarts(spark, tmp_path):

@@ -1,7 +1,10 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import changes, state, store, sync
+from quillon.operators import archive, changes, state, store, sync, vectors
 
 
 def test_ratings(spark):
@@ -13,8 +16,8 @@ def test_ratings(spark):
 
 
 def test_rules(spark):
-    rules = spark.createDataFrame([(1, "Bun kullan", "js, araç", True, 2), (2, "bun eski", "x", False, 1), (3, "npm", "bunlar", True, 1)], "id int, body string, tags string, active boolean, created int")
-    assert [r["id"] for r in store.rule_search(rules, "BUN", ["body", "tags"], "created", "id").collect()] == [3, 1]
+    rules = spark.createDataFrame([(1, "Wash hands", "kitchen, café", True, 2), (2, "wash later", "x", False, 1), (3, "dishes", "washing", True, 1)], "id int, body string, tags string, active boolean, created int")
+    assert [r["id"] for r in store.rule_search(rules, "WASH", ["body", "tags"], "created", "id").collect()] == [3, 1]
     with pytest.raises(ValueError):
         store.rule_search(rules, "  ", ["body"], "created", "id")
     assert [r["id"] for r in store.rules_with_tag(store.retire(rules, "id", [3]), None, "tags").collect()] == [1]
@@ -34,8 +37,70 @@ def test_content_is_merged_and_numbered(spark):
     got = {r["h"]: (r["id"], r["n_copies"], r["i"]) for r in sync.merge_content(rows, "h", "id", "i").collect()}
     assert got == {"h": (1, 2, ["a", "b"]), "k": (3, 1, ["a", "b"])}
     names = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "x#2")], "id int, n string")
-    unique = [r["unique_name"] for r in sync.numbered(names, "n", "id").orderBy("id").collect()]
-    assert len(set(unique)) == 4 and unique[0] == "x" and unique[3] == "x#2"
+    assert [r["unique_name"] for r in sync.numbered(names, "n", "id").orderBy("id").collect()] == ["x", "x#2", "x#3", "x#2#2"]
+
+
+def test_names_by_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "a#2", "a#2#2", "a#3", "a#03", "b", "b#2", "#2", "", None, "a#"])) for i in range(400)]
+    taken, want = set(), []
+    for _, name in rows:
+        if name is None:
+            want.append(None)
+            continue
+        now, n = name, 2
+        while now in taken:
+            now, n = f"{name}#{n}", n + 1
+        taken.add(now)
+        want.append(now)
+    got = sync.numbered(spark.createDataFrame(rows, "id int, n string").repartition(5), "n", "id").orderBy("id").collect()
+    assert [r["unique_name"] for r in got] == want
+
+
+def test_digest_is_a_tree(spark):
+    rows = [(i, f"v{i}") for i in (*range(-40, 300, 3), 5000, 70_000)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    one = sync.digest(df, ["k", "v"], "k", width=8).first()
+    assert one == sync.digest(df.repartition(7), ["k", "v"], "k", width=8).first() and one["n_rows"] == len(rows)
+    other = df.withColumn("v", F.when(F.col("k") == 5000, "x").otherwise(F.col("v")))
+    assert sync.digest(other, ["k", "v"], "k", width=8).first()["digest"] != one["digest"]
+    assert sync.digest(df.limit(0), ["k", "v"], "k").count() == 0
+
+
+def test_rules_are_added(spark):
+    rules = spark.createDataFrame([(4, "old", False)], "id bigint, body string, active boolean")
+    new = spark.createDataFrame([("second",), ("first",)], "body string")
+    assert sorted((r["id"], r["body"], r["active"]) for r in store.add_rules(rules, new).collect()) == [(4, "old", False), (5, "first", True), (6, "second", True)]
+    with pytest.raises(ValueError):
+        store.add_rules(rules, spark.createDataFrame([(" ",)], "body string"))
+
+
+def test_vectors_made_anew(spark):
+    rows = spark.createDataFrame([(1, "a b", "k1"), (2, None, "k2"), (3, "c", "k3")], "id long, text string, content_key string")
+    first = vectors.regenerated(rows, vectors.hash_kernel)
+    assert {r["id"]: (r["regenerated"], len(r["vector"])) for r in first.collect()} == {1: (True, 256), 2: (True, 256), 3: (True, 256)}
+    changed = first.drop("regenerated").withColumn("content_key", F.when(F.col("id") == 3, "new").otherwise(F.col("content_key")))
+    again = {r["id"]: r["regenerated"] for r in vectors.regenerated(changed, vectors.hash_kernel).collect()}
+    assert again == {1: False, 2: False, 3: True}
+    assert all(r["regenerated"] for r in vectors.regenerated(changed, vectors.hash_kernel, force=True).collect())
+    remote = vectors.remote_kernel(lambda texts: [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(texts)))], 2, batch=2)
+    assert {r["id"]: r["vector"] for r in vectors.regenerated(rows, remote, "remote").collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
+    for answers in ([{"index": 0, "embedding": [1.0, 2.0]}], [{"index": 0, "embedding": [1.0]}, {"index": 1, "embedding": [1.0, 2.0]}], [{"index": 1, "embedding": [1.0, 2.0]}] * 2):
+        with pytest.raises(ValueError):
+            vectors.ordered_answers(answers, 2, 2)
+    assert vectors.with_columns(rows, {"Text": "string", "v": "int"}).columns == ["id", "text", "content_key", "v"]
+
+
+def test_archive_takes_each_record_once(spark, tmp_path):
+    line = lambda u, t: json.dumps({"uuid": u, "timestamp": "2026-01-01T00:00:00Z", "type": "user", "message": {"content": t}})
+    batch = lambda *rows: spark.createDataFrame([(p, n, v) for p, n, v in rows], "path string, line bigint, value string")
+    store = archive.Archive(spark, f"{tmp_path}/a")
+    assert store.records().count() == 0 and store.summaries().count() == 0
+    store.ingest(batch(("p", 1, line("u1", "one")), ("p", 2, line("u2", "two")), ("p", 3, "{half"), ("q", 1, line("u1", "one"))), 0)
+    store.ingest(batch(("p", 1, line("u1", "one")), ("p", 2, line("u3", "three")), ("r", 1, "[1]")), 1)
+    store.ingest(batch(("p", 1, line("u1", "one")), ("p", 2, line("u3", "three")), ("r", 1, "[1]")), 1)
+    assert sorted((r["uuid"], r["path"], r["line"]) for r in store.records().collect()) == [("u1", "p", 1), ("u2", "p", 2), ("u3", "p", 2)]
+    assert sorted(map(tuple, store.summaries().collect())) == [(0, 4, 1, 2, 0), (1, 3, 1, 1, 1)]
 
 
 def test_diff(spark):
@@ -74,6 +139,8 @@ def test_hot_set(spark):
     got = state.hot_set(uses, "o", "n", now_ms=1000, ttl=1000).orderBy("rank").collect()
     assert len(got) == 12 and got[0]["n"] == "n00" and "n01" not in {r["n"] for r in got}
     assert state.hot_set(uses, "o", "n", now_ms=5000, ttl=1000).count() == 0
+    exact = spark.createDataFrame([("o", "at", 0), ("o", "in", 1)], "o string, n string, t bigint")
+    assert [r["n"] for r in state.hot_set(exact, "o", "n", now_ms=1000, ttl=1000).collect()] == ["in"]
 
 
 def test_mailbox(spark):

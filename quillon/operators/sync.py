@@ -100,7 +100,7 @@ def digest(table: DataFrame, columns: list[str], order: str, width: int = 1024)
         return rows.groupBy("at").agg(F.sum("n").alias("n"), F.sha2(F.array_join(children, "\n"), 256).alias("d"))
 
     level = folded(level)
-    while low != high:
+    while low != high and (low, high) != (-1, 0):  # either side of 0 never meets
         low, high = low // width, high // width
         level = folded(level.select(F.floor(F.col("at") / width).alias("at"), F.col("at").alias("o"), "d", "n"))
     return folded(level.select(F.lit(0).alias("at"), F.col("at").alias("o"), "d", "n")).select(F.col("n").alias("n_rows"), F.col("d").alias("digest"))

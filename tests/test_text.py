@@ -36,8 +36,9 @@ def test_names_and_paths(spark):
 
 
 def test_whole_paths(spark):
-    cases = [("read /r/a.rs now", True), ("/r/a.rs", True), ('"/r/a.rs"', True), ("/r/a.rs.bak", False), ("/old/r/a.rs", False), ("", False), ("/r/a.rs.bak and /r/a.rs", True)]
-    assert values(spark, [c for c, _ in cases], "x", text.has_path(F.col("x"), F.lit("/r/a.rs"))) == [w for _, w in cases]
+    cases = [("see lib/x.py for it", True), ("lib/x.py", True), ("(lib/x.py)", True), ("lib/x.pyi", False), ("src/lib/x.py", False), ("_lib/x.py", False), (" ", False), ("lib/x.pyi, lib/x.py", True), ("lib/x-py", False)]
+    assert values(spark, [c for c, _ in cases], "x", text.has_path(F.col("x"), F.lit("lib/x.py"))) == [w for _, w in cases]
+    assert values(spark, ["a/b: c.d (é-1)", ":", ""], "x", text.path_runs(F.col("x"))) == [["a/b", "c.d", "é-1"], [], []]
 
 
 def test_like_ignores_only_ascii_case(spark):

@@ -10,7 +10,9 @@ Matches are those of leftmost, longest, non-overlapping search for each rule;
 a match whose run, or whole length, is under the rule's minimum is dropped
 after it has consumed its text.  Texts are scanned as one byte for a code
 point (anything beyond ASCII becomes one byte that no rule contains), so
-offsets are code points.  Null and empty texts give no spans.
+offsets are code points.  Null and empty texts give no spans; very long texts
+are scanned whole.  Repeated rows give repeated rows; an empty table gives an
+empty result.  Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import id_type, map_rows
 
 
 @dataclass(frozen=True)
@@ -352,6 +354,6 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return row
 
     names = [f"n_{rules[r].kind}" for r in base]
-    kind = dict(documents.dtypes)["doc_id"]
-    fields = [("doc_id", pa.int32() if kind == "int" else pa.int64()), *((n, pa.int64()) for n in names), ("base_sha256", pa.string()), ("spans", pa.string())]
+    kind, arrow = id_type(documents)
+    fields = [("doc_id", arrow), *((n, pa.int64()) for n in names), ("base_sha256", pa.string()), ("spans", pa.string())]
     return map_rows(documents, ["doc_id", "text"], make, fields, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", base_sha256 string, spans string")

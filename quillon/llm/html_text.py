@@ -8,7 +8,10 @@ Blocks inside menus, page headers, footers, sidebars,
 notices, adverts, forms and comments are decided from their markup.
 
 Null and empty pages give empty text.  Markup that is never closed runs to
-the end of the page.  Repeated pages give repeated rows.
+the end of the page.  Very long pages and attributes are read whole, in time
+that grows with their length.  Repeated pages give repeated rows; an empty
+table gives an empty result.  Only page_id, url and html are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import id_type, map_rows
 
 #: Frequent function words of the languages this reads.
 STOP_WORDS = frozenset(
@@ -284,7 +287,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return row
 
-    kind = dict(pages.dtypes)
-    ids = pa.int64() if kind["page_id"] == "bigint" else pa.int32() if kind["page_id"] == "int" else pa.string()
+    kind, ids = id_type(pages, "page_id")
     fields = [("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
-    return map_rows(pages, ["page_id", "url", "html"], make, fields, f"page_id {kind['page_id']}, url string, text string, n_chars bigint")
+    return map_rows(pages, ["page_id", "url", "html"], make, fields, f"page_id {kind}, url string, text string, n_chars bigint")

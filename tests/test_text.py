@@ -74,6 +74,42 @@ def test_fnv(spark):
     assert values(spark, rows, "x", hashing.fnv_cell(F.col("x"))) == [fnv(r.encode()) % 256 for r in rows]
 
 
+def test_fnv_of_long_texts_in_linear_time(spark):
+    import time
+
+    rows = ["şa" * 100_000, None, "", "b" * (1 << 18), "c"]
+    began = time.time()
+    got = values(spark, rows, "x", hashing.fnv64_hex(F.col("x")))
+    assert time.time() - began < 20
+    assert got == [None if r is None else f"{fnv(r.encode()):016x}" for r in rows]
+
+
+def test_fnv_in_pieces(monkeypatch):
+    import numpy as np
+
+    runs = [b"", b"ab", bytes(range(256)), b"", b"z" * 41, b""]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        hashing._powers.cache_clear()
+        assert hashing.fnv64(np.frombuffer(b"".join(runs), np.uint8), np.cumsum([len(r) for r in runs])).tolist() == [fnv(r) for r in runs]
+    hashing._powers.cache_clear()
+
+
+def test_embedding_by_hand(spark):
+    import math
+    from collections import Counter
+
+    rows = ["Kaynakça, belge belge x!", None, "?", "ab " * 70_000]
+    for text, got in zip(rows, values(spark, rows, "x", hashing.hash_embedding(F.col("x")))):
+        sums = Counter()
+        for t in (text or "").lower().replace("ç", "c").replace(",", "").replace("!", "").replace("?", "").split():
+            for key, weight in [("t:" + t, 1.0), *(("g:" + t[i : i + 3], 0.5) for i in range(max(len(t) - 2, 1)))]:
+                sums[fnv(key.encode()) % 256] += weight
+        weights = [max(math.log(sums[c]) + 1, 0) if sums[c] else 0.0 for c in range(256)]
+        norm = math.sqrt(sum(w * w for w in weights)) or 1.0
+        assert all(abs(a - w / norm) < 1e-12 for a, w in zip(got, weights, strict=True))
+
+
 def test_hash_embedding(spark):
     rows = ["kaynakça belgeleri", "kaynakca", "tepsi simgesi", ""]
     a, b, c, none = values(spark, rows, "x", hashing.hash_embedding(F.col("x")))

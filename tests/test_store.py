@@ -147,3 +147,19 @@ def test_mailbox(spark):
     sent = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), ("c", 3)], "box string, t bigint")
     polls = spark.createDataFrame([("a", 3), ("c", 9)], "box string, t bigint")
     assert [tuple(r) for r in state.waiting(sent, polls, "box").collect()] == [("a", 1), ("b", 1)]
+
+
+def test_hash_kernel_row_by_row(spark):
+    """Rows of one id, or of none, each get the vector of their own text, and none is shuffled."""
+    from quillon.operators import vectors
+
+    rows = spark.createDataFrame([(1, "a b", "k1"), (1, "c", "k2"), (None, "a b", "k3"), (2, None, "k4")], "id long, text string, content_key string")
+    made = vectors.hash_kernel(rows)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    alone = {t: vectors.hash_kernel(spark.createDataFrame([(0, t)], "id long, text string")).first()["vector"] for t in ("a b", "c", "")}
+    assert [r["vector"] for r in made.collect()] == [alone["a b"], alone["c"], alone["a b"], alone[""]]
+    again = vectors.regenerated(rows, vectors.hash_kernel)
+    assert "Exchange" not in again._jdf.queryExecution().toString()
+    assert {(r["content_key"], r["regenerated"]): r["vector"] for r in again.collect()} == {("k1", True): alone["a b"], ("k2", True): alone["c"], ("k3", True): alone["a b"], ("k4", True): alone[""]}
+    kept = rows.withColumn("vector", F.array(F.lit(0.5).cast("float"))).withColumn("signature", F.when(F.col("id") == 1, F.concat(F.lit("hash256:"), "content_key")))
+    assert [len(r["vector"]) for r in vectors.regenerated(kept, vectors.hash_kernel).orderBy("content_key").collect()] == [1, 1, 256, 256]

@@ -62,12 +62,11 @@ def tail_source(spark: SparkSession, d: str) -> DataFrame:
     lines.write.text(f"file://{root}/log")
     with open(os.path.join(root, "log", "late.txt"), "w", encoding="utf-8") as f:
         f.write('{"uuid": "half')
-    name = "tail_" + os.path.basename(root).replace("-", "_")
     stream = spark.readStream.format("tail").option("path", f"{root}/log").option("suffix", ".txt").load()
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(processingTime="1 second").start()
+    query = stream.writeStream.format("parquet").option("path", f"file://{root}/lines").option("checkpointLocation", f"file://{root}/checkpoint").trigger(processingTime="0 seconds").start()
     query.processAllAvailable()
     query.stop()
-    return sessions.records(spark.table(name)).groupBy("kind").agg(F.count("*").alias("n_records"))
+    return sessions.records(spark.read.schema(tail.SCHEMA).parquet(f"file://{root}/lines")).groupBy("kind").agg(F.count("*").alias("n_records"))
 
 
 def live_query(spark: SparkSession, d: str) -> DataFrame:

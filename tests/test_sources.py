@@ -179,3 +179,30 @@ def test_tail_stream_restarts(spark, tmp_path):
     with path.open("a") as f:
         f.write("lf\nc\n")
     assert run() == ["a", "b", "c", "half"]
+
+
+def test_tail_batches_and_tuples(tmp_path, monkeypatch):
+    """Batches of any size give the rows of readline, end with the slice, and take bytes that aren't UTF-8."""
+    path = tmp_path / "t.jsonl"
+    lines = [b"a", b"", b"\xff\xc3\xa7\r", b"x" * 50, "ş y".encode(), b"end"]
+    path.write_bytes(b"\n".join(lines) + b"\nmore\nhal")
+    begins = [sum(len(x) + 1 for x in lines[:i]) for i in range(7)]
+    want = [(str(path), i + 8, begins[i], x.rstrip(b"\r").decode("utf-8", "replace")) for i, x in enumerate(lines)]
+    for size in (1, 5, 1 << 22):
+        monkeypatch.setattr(tail, "BATCH", size)
+        part = tail.Slice(str(path), 0, begins[6], 7)
+        reader = tail.BatchReader({"path": str(tmp_path)})
+        assert list(tail.TailReader({"path": str(tmp_path)}).read(part)) == want
+        assert [tuple(r.values()) for b in reader.read(part) for r in b.to_pylist()] == want
+    assert isinstance(tail.TailSource({"path": str(tmp_path)}).streamReader(None), tail.BatchReader)
+
+
+def test_tail_query_keeps_no_lines_on_the_driver(spark):
+    """The lines go to files, so no table of them is held in memory."""
+    from quillon.plans import ingest
+
+    before = {t.name for t in spark.catalog.listTables()}
+    counted = {r["kind"]: r["n_records"] for r in ingest.tail_source(spark, "/root/testdata/sf0.001").collect()}
+    want = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("role in ('user', 'assistant') and trim(text) <> ''").groupBy("role").count().collect()
+    assert counted == {"user" if r["role"] == "user" else "model": r["count"] for r in want}
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -19,6 +19,8 @@ from .spool import spooled
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 3
+#: Letters of a stem, see text.stems.
+STEM = 5
 MODES = ("bm25", "vector", "fused", "vector-then-bm25")
 
 
@@ -49,6 +51,34 @@ def bm25(documents: DataFrame, terms: list[str], limit: int | None, least_averag
     return out if limit is None else out.orderBy(F.desc("score"), id_column).limit(limit)
 
 
+def scan(documents: DataFrame, terms: list[str], stemmed: bool, id_column: str = "id", token_column: str = "tokens") -> DataFrame:
+    """(id, dl, held) of every document: its length and those of its tokens that are, or begin with, a term asked for; one pass, written once.
+
+    With few queries to ask at once this costs a fraction of building an index.
+    """
+    of = (lambda t: F.left(t, F.lit(STEM))) if stemmed else (lambda t: t)
+    held = F.filter(token_column, lambda t: of(t).isin(terms)) if terms else F.array().cast("array<string>")
+    return spooled(documents.select(F.col(id_column).alias("id"), F.greatest(F.size(token_column), F.lit(0)).alias("dl"), F.coalesce(held, F.array().cast("array<string>")).alias("held")), "scan")
+
+
+def scores(scanned: DataFrame, queries: dict, stemmed: bool = False) -> DataFrame:
+    """(query_id, id, score) of all scanned documents that hold a term of a query, as Index.scores gives them; queries: terms by query id, a term that repeats counts again."""
+    spark = scanned.sparkSession
+    stats = scanned.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 0.0
+    wanted = sorted({t for terms in queries.values() for t in terms})
+    token = F.left("t", F.lit(STEM)) if stemmed else F.col("t")
+    tf = scanned.select("id", "dl", F.explode("held").alias("t")).select("id", "dl", token.alias("term")).filter(F.col("term").isin(wanted)).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = spooled(tf, "tf")
+    kind = "string" if any(isinstance(q, str) for q in queries) else "bigint"
+    asked = spark.createDataFrame([(q, t, k) for q, terms in queries.items() for t, k in Counter(terms).items()], f"query_id {kind}, term string, times int")
+    df = F.col("df").cast("double")
+    weighted = asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("times") * F.ln(1.0 + (n - df + 0.5) / (df + 0.5))).alias("w"))
+    length = F.col("dl") / mean if mean > 0 else F.lit(0.0)
+    part = F.col("w") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
+    return tf.join(F.broadcast(weighted), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+
+
 def cosine(documents: DataFrame, query: Column | list[float] | DataFrame, floor: float, limit: int | None, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
     """(id, score) of the vectors nearest to the query: a list, or a table of one row with column `query`."""
     if isinstance(query, DataFrame):

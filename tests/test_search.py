@@ -97,3 +97,17 @@ def test_passages_in_long_documents(spark, tmp_path):
     began = time.time()
     assert {r["item_id"]: r["n_documents"] for r in plans.golden_recall(spark, str(tmp_path)).collect()} == {1: 1, 2: 2, 3: 0, 4: 0}
     assert time.time() - began < 40
+
+
+def test_scores_of_a_scan_are_those_of_the_index(spark, tmp_path):
+    """Many queries asked of one scan, over words and stems: documents without tokens count, repeated terms count again, no index is built."""
+    rows = [(1, "belgeler belge kaynak"), (2, "belge x x x"), (3, ""), (4, None), (5, "kaynaklar belgesi kaynakca x")]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("tokens", text.tokens("text"))
+    asked = {7: ["belge", "x", "x"], 8: ["kayna"], 9: ["none"], 10: []}
+    scanned = search.scan(docs, sorted({t for ts in asked.values() for t in ts}), stemmed=True)
+    for stemmed in (False, True):
+        path = str(tmp_path / str(stemmed))
+        index.build(docs.select("id", (text.stems(F.col("tokens")) if stemmed else F.col("tokens")).alias("tokens")), path)
+        want = sorted(map(tuple, index.Index(spark, path).scores(asked).collect()))
+        assert sorted(map(tuple, search.scores(scanned, asked, stemmed).select("query_id", "id", "score").collect())) == want
+        assert {q for q, _, _ in want} == ({7, 8} if stemmed else {7})

@@ -163,3 +163,23 @@ def test_hash_kernel_row_by_row(spark):
     assert {(r["content_key"], r["regenerated"]): r["vector"] for r in again.collect()} == {("k1", True): alone["a b"], ("k2", True): alone["c"], ("k3", True): alone["a b"], ("k4", True): alone[""]}
     kept = rows.withColumn("vector", F.array(F.lit(0.5).cast("float"))).withColumn("signature", F.when(F.col("id") == 1, F.concat(F.lit("hash256:"), "content_key")))
     assert [len(r["vector"]) for r in vectors.regenerated(kept, vectors.hash_kernel).orderBy("content_key").collect()] == [1, 1, 256, 256]
+
+
+def test_parts_of_one_row_group_are_spread(spark, tmp_path):
+    """Vectors of a table that is one small file are made in several tasks, each part once; the copies of a part have its cells."""
+    from quillon.plans import archive as plans
+
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    many = part.crossJoin(spark.range(10)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 30_000).drop("id")
+    many.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(least, "16k")
+    try:
+        made = plans.regenerated_vectors(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset(least)
+    assert made["task"].nunique() > 1
+    alone = plans.regenerated_vectors(spark, "/root/testdata/sf0.01").toPandas().set_index("id")
+    assert sorted(made["id"]) == sorted(k + 30_000 * i for k in alone.index for i in range(10))
+    assert (made["regenerated"] == (made["id"] % 3 != 0)).all() and (made["dims"] == made["regenerated"].map({True: 256, False: 1})).all()
+    assert (made["n_cells"].to_numpy() == alone.loc[made["id"] % 30_000, "n_cells"].to_numpy()).all()

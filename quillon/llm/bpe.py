@@ -10,7 +10,13 @@ merge makes a token of more than LOOKAHEAD bytes (the longest sum of two parts
 over all merges), so any later token begins within the last LOOKAHEAD
 positions.  A boundary that all parses alive in that window share is final, and
 everything before it is emitted and forgotten.  Memory does not grow with the
-text.  Words met before come from a memo of bounded size.
+text.  What the automaton and the merges have answered once is kept with the
+state or token asked, in tables of bounded size.
+
+Words met before come from a memo of bounded size.  The new words of several
+texts go through the transducer in order, so that each goes on from where it
+leaves the one before: what the transducer has at a position depends on the
+bytes up to there alone.
 
 `Decoder` turns ids back into text through a UTF-8 state machine that keeps at
 most three pending bytes and puts U+FFFD for each maximal broken part.
@@ -27,8 +33,10 @@ import hashlib
 import json
 import re
 import weakref
-from collections.abc import Iterable
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
+from operator import getitem, itemgetter
 
 import pyarrow as pa
 import regex
@@ -44,8 +52,12 @@ BEYOND = "[_\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1))
 
 CHUNK = 1 << 16
+#: Characters of the texts whose words are looked up together.
+GROUP = 1 << 19
 #: Words that the memo holds, and their bytes at most.
-CACHED, CACHED_BYTES = 1 << 16, 128
+CACHED, CACHED_BYTES = 3 << 15, 128
+#: Moves by way of shorter states that the automaton keeps, and answers whether two tokens stay apart.
+MOVES, ANSWERS = 1 << 18, 1 << 18
 
 
 def content(path: str) -> bytes:
@@ -64,71 +76,65 @@ class Model:
 
     def __init__(self, source: str | bytes):
         data = json.loads(source if isinstance(source, bytes) else content(source))
-        letters = byte_letters()
-        self.bytes_of: dict[int, bytes] = {}
-        for word, i in data["model"]["vocab"].items():
-            self.bytes_of[i] = bytes(letters[c] for c in word)
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
+        letters, vocabulary = byte_letters(), data["model"]["vocab"]
+        as_bytes = str.maketrans({c: chr(b) for c, b in letters.items()})
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        size = 1 + max([*vocabulary.values(), *self.special.values()])
+        self.bytes_of = [b""] * size
+        for word, i in vocabulary.items():
+            if word not in self.special:
+                self.bytes_of[i] = word.translate(as_bytes).encode("latin-1")
+        self.single = [vocabulary[c] for c in sorted(letters, key=letters.get)]
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
-            self.id_of.pop(text.encode(), None)
         self.merges: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        #: By token, both tokens of the merge that makes it, and its rank; -1: no merge does.
+        self.parts, self.rank_of = (array("i", [-1]) * size, array("i", [-1]) * size), array("i", [-1]) * size
         self.unclear: set[int] = set()
-        self.wholes: dict[int, bool] = {}
-        self.edges: tuple[dict[int, list], dict[int, list]] = {}, {}
         #: How far back a later token can reach: the longest that a merge makes.
         self.lookahead = 1
         for rank, pair in enumerate(data["model"]["merges"]):
-            a, b = (bytes(letters[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            x, y, made = self.id_of[a], self.id_of[b], self.id_of[a + b]
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            x, y, made = vocabulary[a], vocabulary[b], vocabulary[a + b]
             self.merges[x, y] = rank
             self.made.append(made)
             # a token that two merges make, or that one makes before its parts, has no single derivation
-            if made in self.parts or any(i in self.unclear or len(part) > 1 and i not in self.parts for i, part in ((x, a), (y, b))):
+            if self.rank_of[made] >= 0 or any(i in self.unclear or len(part) > 1 and self.rank_of[i] < 0 for i, part in ((x, a), (y, b))):
                 self.unclear.add(made)
-            self.parts[made] = x, y, rank
+            self.parts[0][made], self.parts[1][made], self.rank_of[made] = x, y, rank
             self.lookahead = max(self.lookahead, len(a) + len(b))
         self.none = len(self.made)
-        self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.hold = max([16, *(len(s) + 3 for s in self.special)])
         self.any_split, self.latin_split, self.beyond = regex.compile(PATTERN), re.compile(LATIN), re.compile(BEYOND)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.moves, self.falls, self.ends = self.automaton([*self.single, *self.made])
+        self.root = self.automaton([*self.single, *self.made])
         self.words = Words(self)
-        self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
-        #: What apart() has said, by the first token; the last entry is for no token. And how many answers there are.
-        self.after: list[dict[int, bool]] = [{} for _ in range(max(self.bytes_of) + 2)]
+        self.names = [str(i) for i in range(size)]
+        #: Tokens met, with what apart() has said of them and those after them, and how many answers there are.
+        self.afters: dict[int, After] = {}
         self.answers = 0
-        self.size_of = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+        self.before_all = self.after(-1)
 
-    def automaton(self, tokens: list[int]) -> tuple[list[dict[int, int]], list[int], list[tuple]]:
-        """A state for each beginning of a token: its moves by byte, the longest other beginning that ends it, and the tokens that end it, the longest first."""
-        moves: list[dict[int, int]] = [{}]
-        names = [-1]
+    def automaton(self, tokens: list[int]) -> State:
+        """A state for each beginning of a token, with its moves by byte; returns that of the empty beginning."""
+        kept = [0]
+        root = State(kept)
         for token in tokens:
-            state = 0
+            state = root
             for byte in self.bytes_of[token]:
-                to = moves[state].get(byte)
+                to = state.get(byte)
                 if to is None:
-                    to = moves[state][byte] = len(moves)
-                    moves.append({})
-                    names.append(-1)
+                    to = state[byte] = State(kept)
                 state = to
-            names[state] = token
-        falls, ends, todo = [0] * len(moves), [()] * len(moves), [0]
+            state.ends = ((token, len(self.bytes_of[token])),)
+        todo = [root]
         for state in todo:  # by length, so that shorter beginnings are done
-            for byte, to in moves[state].items():
+            for byte, to in state.items():
                 todo.append(to)
-                if state:
-                    at = falls[state]
-                    while byte not in moves[at]:
-                        at = falls[at]
-                    falls[to] = moves[at][byte]
-                ends[to] = ends[falls[to]] if names[to] < 0 else ((names[to], len(self.bytes_of[names[to]])), *ends[falls[to]])
-        return moves, falls, ends
+                to.fall = root if state is root else state.fall.along(byte)
+                to.ends += to.fall.ends
+        return root
 
     def merge(self, data: bytes) -> list[int]:
         """The merges applied lowest rank first, leftmost first."""
@@ -148,26 +154,13 @@ class Model:
                 ranks[i] = merges.get((ids[i], ids[i + 1]), none)
         return ids
 
-    def whole(self, token: int) -> bool:
-        """Whether the merges make the token of its own bytes."""
-        known = self.wholes.get(token)
-        if known is None:
-            known = self.wholes[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
-
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at the token's first (side 0) or last (side 1) byte while the merges make it, each with the rank of the merge that ends it."""
-        known = self.edges[side].get(token)
-        if known is None:
-            known, ends = [], self.none
-            while True:
-                known.append((token, ends))
-                if token not in self.parts:
-                    break
-                (*parts, ends) = self.parts[token]
-                token = parts[side]
-            known.reverse()
-            self.edges[side][known[-1][0]] = known
+        known, ends = [], self.none
+        while token >= 0:
+            known.append((token, ends))
+            token, ends = self.parts[side][token], self.rank_of[token]
+        known.reverse()
         return known
 
     def apart(self, a: int, b: int) -> bool:
@@ -176,32 +169,28 @@ class Model:
         Merges come in the order of their ranks, the leftmost first, so it is enough to follow what stands on either side of the
         boundary and to see whether a merge over it comes before the one that ends either side.
         """
-        known = self.after[a].get(b)
-        if known is None:
-            self.answers += 1
-            if self.answers > 4 * CACHED:
-                self.answers = 0
-                for row in self.after:
-                    row.clear()
-            if a < 0 or not self.whole(b):
-                known = self.whole(b)
-            elif a in self.unclear or b in self.unclear:
-                known = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        before, after = self.after(a), self.after(b)
+        if a < 0 or not after.whole:
+            return after.whole
+        if before.unclear or after.unclear:
+            return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        left, right, i, j, none, merges = before.right, after.left, 0, 0, self.none, self.merges
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            over = merges.get((x, y), none)
+            if over < none and over < x_ends and over <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                if x_ends == none:
+                    return True
+                i += 1
             else:
-                left, right, i, j, none = self.edge(a, 1), self.edge(b, 0), 0, 0, self.none
-                known = True
-                while known:
-                    (x, x_ends), (y, y_ends) = left[i], right[j]
-                    over = self.merges.get((x, y), none)
-                    if over < none and over < x_ends and over <= y_ends:
-                        known = False
-                    elif x_ends == y_ends == none:
-                        break
-                    elif x_ends <= y_ends:
-                        i += 1
-                    else:
-                        j += 1
-            self.after[a][b] = known
+                j += 1
+
+    def after(self, token: int) -> After:
+        known = self.afters.get(token)
+        if known is None:
+            known = self.afters[token] = After(self, token)
         return known
 
     def split(self, text: str) -> list[str]:
@@ -209,7 +198,14 @@ class Model:
         return (self.any_split if self.beyond.search(text) else self.latin_split).findall(text)
 
     def ids(self, words: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+        return self.all_ids([words])[0]
+
+    def all_ids(self, texts: list[list[str]]) -> list[list[int]]:
+        """Ids of several texts, each given as its words."""
+        self.words.learn(chain.from_iterable(texts))
+        ids = [list(chain.from_iterable(map(self.words.__getitem__, words))) for words in texts]
+        self.words.shrink()
+        return ids
 
 
 class Words(dict):
@@ -218,19 +214,125 @@ class Words(dict):
     def __init__(self, model: Model):
         self.model, self.old = weakref.proxy(model), {}  # no cycle: a task's tables go when it ends
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word)
-        if ids is None:
-            data = word.encode("utf-8", "surrogatepass")
-            stream = ByteStream(self.model)
-            ids = (*stream.feed(data), *stream.finish())
-            if len(data) > CACHED_BYTES:
-                return ids
+    def learn(self, words: Iterable[str]) -> None:
+        new, in_order = set(words).difference(self), InOrder(self.model)
+        for word in sorted(new):  # the order of the code points is that of the bytes
+            ids = self.old.get(word)
+            if ids is None:
+                data = word.encode("utf-8", "surrogatepass")
+                if len(data) > CACHED_BYTES:
+                    continue
+                ids = tuple(in_order.word(data))
+            self[word] = ids
+
+    def __missing__(self, word: str) -> list[int]:
+        """Of words that are too long to keep."""
+        stream = ByteStream(self.model)
+        return stream.feed(word.encode("utf-8", "surrogatepass")) + stream.finish()
+
+    def shrink(self) -> None:
         if len(self) >= CACHED:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+
+
+class State(dict):
+    """A beginning of a token: by byte the beginning that is reached, the longest other one that ends it, and the tokens that end it with their sizes, the longest first."""
+
+    __slots__ = ("ends", "fall", "kept")
+
+    def __init__(self, kept: list[int]):
+        self.kept, self.fall, self.ends = kept, None, ()  # kept: how many moves by way of shorter states all states have
+
+    def along(self, byte: int) -> State:
+        state = self
+        while (to := state.get(byte)) is None:  # single bytes are tokens, so the empty beginning has a move
+            state = state.fall
+        return to
+
+    def __missing__(self, byte: int) -> State:
+        to = self.fall.along(byte)
+        if self.kept[0] < MOVES:
+            self.kept[0] += 1
+            self[byte] = to
+        return to
+
+
+class After(dict):
+    """A token, and what the merges say of each token after it: that one's After if they leave both as they are, else None."""
+
+    __slots__ = ("left", "model", "right", "size", "token", "unclear", "whole")
+
+    def __init__(self, model: Model, token: int):
+        data = model.bytes_of[token] if token >= 0 else b""
+        self.model, self.token, self.size, self.unclear = model, token, len(data), token in model.unclear
+        self.left, self.right = (model.edge(token, side) for side in (0, 1))
+        self.whole = model.merge(data) == [token]  # whether the merges make the token of its own bytes
+
+    def __missing__(self, token: int) -> After | None:
+        model = self.model
+        if model.answers >= ANSWERS:
+            model.answers = 0
+            for row in model.afters.values():
+                row.clear()
+        model.answers += 1
+        known = self[token] = model.afters[token] if model.apart(self.token, token) else None
+        return known
+
+
+class Dead(dict):
+    """Stands where no parse ends."""
+
+    __slots__ = ()
+
+    def __missing__(self, token: int) -> None:
+        return None
+
+
+DEAD = Dead()
+
+
+def follow(state: State, data: bytes, last: list[After]) -> list[State]:
+    """The states after each of the bytes, the given one before them; adds to last the last token of each prefix that ends there."""
+    states = list(accumulate(data, getitem, initial=state))
+    add = last.append
+    for state in states[1:]:
+        for token, size in state.ends:
+            if (row := last[-size][token]) is not None:
+                add(row)
+                break
+        else:
+            add(DEAD)
+    return states
+
+
+def traced(last: list[After], upto: int) -> list[int]:
+    """The ids of the parse that ends at a position."""
+    ids = []
+    while upto:
+        row = last[upto]
+        ids.append(row.token)
+        upto -= row.size
+    ids.reverse()
+    return ids
+
+
+class InOrder:
+    """The transducer over whole words in order: of each only what comes after the beginning shared with the one before."""
+
+    def __init__(self, model: Model):
+        self.data, self.states, self.last = b"", [model.root], [model.before_all]
+
+    def word(self, data: bytes) -> list[int]:
+        same = 0
+        for a, b in zip(self.data, data):
+            if a != b:
+                break
+            same += 1
+        del self.last[same + 1 :]  # the first is what stands before the word
+        self.states[same:] = follow(self.states[same], data[same:], self.last)
+        self.data = data
+        return traced(self.last, len(data))
 
 
 class ByteStream:
@@ -238,56 +340,33 @@ class ByteStream:
 
     def __init__(self, model: Model):
         self.model = model
-        self.last = [-1]  # from the last final boundary on: last token of the prefix that ends at each position, -2: no parse; the first is the token before the boundary
-        self.state = 0
+        self.last = [model.before_all]  # from the last final boundary on: last token of the prefix that ends at each position, DEAD: no parse; the first is the token before the boundary
+        self.state = model.root
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
         ahead = self.model.lookahead
         for at in range(0, len(data), ahead):
-            self.advance(data[at : at + ahead])
+            self.state = follow(self.state, data[at : at + ahead], self.last)[-1]
             if len(self.last) > 4 * ahead and (stable := self.stable()):
                 out += self.emit(stable)
         return out
 
-    def advance(self, data: bytes) -> None:
-        moves, falls, ends, after, apart, last, state = self.model.moves, self.model.falls, self.model.ends, self.model.after, self.model.apart, self.last, self.state
-        n = len(last)
-        for byte in data:
-            while (to := moves[state].get(byte)) is None:  # single bytes are tokens, so the empty beginning has a move
-                state = falls[state]
-            state = to
-            for token, size in ends[state]:  # the longest first
-                before = last[n - size]
-                if before != -2:
-                    good = after[before].get(token)
-                    if apart(before, token) if good is None else good:
-                        last.append(token)
-                        break
-            else:
-                last.append(-2)
-            n += 1
-        self.state = state
-
     def stable(self) -> int:
         """The last boundary that all parses alive in the lookahead share; 0: none."""
         n, last = len(self.last) - 1, self.last
-        alive = {p for p in range(max(1, n - self.model.lookahead + 1), n + 1) if last[p] != -2}
+        alive = {p for p in range(max(1, n - self.model.lookahead + 1), n + 1) if last[p] is not DEAD}
         while len(alive) > 1:
             p = max(alive)
             alive.remove(p)
-            alive.add(p - len(self.model.bytes_of[last[p]]) if p else 0)
+            alive.add(p - last[p].size if p else 0)
             if 0 in alive:
                 return 0
         return alive.pop()
 
     def emit(self, upto: int) -> list[int]:
-        ids, p, last, size_of = [], upto, self.last, self.model.size_of
-        while p:
-            ids.append(token := last[p])
-            p -= size_of[token]
-        del last[:upto]
-        ids.reverse()
+        ids = traced(self.last, upto)
+        del self.last[:upto]
         return ids
 
     def finish(self) -> list[int]:
@@ -382,6 +461,11 @@ def utf8_machine() -> tuple[bytes, list[list[int]]]:
     return names, moves
 
 
+def picked(values: list, at: list[int]) -> tuple:
+    """The values at each of the positions."""
+    return itemgetter(*at)(values) if len(at) > 1 else tuple(values[i] for i in at)
+
+
 class Decoder:
     """Ids in pieces to text."""
 
@@ -390,8 +474,8 @@ class Decoder:
     def __init__(self, model: Model):
         self.model, self.state, self.pending = model, 0, bytearray()
 
-    def feed(self, ids: Iterable[int]) -> str:
-        data = b"".join(map(self.model.bytes_of.__getitem__, ids))
+    def feed(self, ids: list[int]) -> str:
+        data = b"".join(picked(self.model.bytes_of, ids))
         if self.state == 0:
             try:
                 return data.decode("utf-8")  # the machine would stay on its good paths and end between characters
@@ -433,6 +517,24 @@ def encode(model: Model, text: str | None) -> list[int]:
     return ids
 
 
+def encode_all(model: Model, texts: Iterable[str | None]) -> Iterator[list[int]]:
+    """Ids of each text; the words of short ones without special tokens are looked up together."""
+    waiting: list[list[str]] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        alone = len(text) > CHUNK or any(s in text for s in model.special)
+        if alone or size + len(text) > GROUP:
+            yield from model.all_ids(waiting)
+            waiting, size = [], 0
+        if alone:
+            yield encode(model, text)
+        else:
+            waiting.append(model.split(text))
+            size += len(text)
+    yield from model.all_ids(waiting)
+
+
 def decode(model: Model, ids: list[int]) -> str:
     decoder = Decoder(model)
     return "".join(decoder.feed(ids[i : i + 4096]) for i in range(0, len(ids), 4096)) + decoder.finish()
@@ -445,14 +547,14 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, ke
     def make():
         model = Model(shipped.value)
 
-        def row(doc_id, text, *rest):
-            ids = encode(model, text)
-            back = decode(model, ids)
-            said = hashlib.sha256(",".join(map(model.names.__getitem__, ids)).encode()).hexdigest()
-            out = (doc_id, len(ids), said, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            return (*out, ids, *rest) if with_ids else (*out, *rest)
+        def rows(doc_ids, texts, *rest):
+            for doc_id, ids, *kept in zip(doc_ids, encode_all(model, texts), *rest):
+                back = decode(model, ids)
+                said = hashlib.sha256(",".join(picked(model.names, ids)).encode()).hexdigest()
+                out = (doc_id, len(ids), said, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                yield (*out, ids, *kept) if with_ids else (*out, *kept)
 
-        return row
+        return rows
 
     kind, arrow = id_type(documents)
     fields = [("doc_id", arrow), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -462,4 +564,4 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, ke
         ddl += ", ids array<int>"
     fields += [(c, pa.string()) for c in keep]
     ddl += "".join(f", {c} string" for c in keep)
-    return map_rows(documents, ["doc_id", "text", *keep], make, fields, ddl)
+    return map_rows(documents, ["doc_id", "text", *keep], make, fields, ddl, together=True)

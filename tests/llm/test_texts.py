@@ -219,6 +219,34 @@ def test_long_words_in_constant_memory(model, library, monkeypatch):
     assert most <= 8 * model.lookahead
 
 
+def odd_texts(rng, n):
+    pieces = ["the", "heat", "ion", "schöst", "ß", "er", "日本", "😀", "x", "Q", "7", "_", "'s", "--", "\n", "  "]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(n)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+    return [*texts, None, "", "a<|endoftext|>b", "heat" * 300, "-" * 700 + " " * 300 + "x", texts[0], "the " * 200]
+
+
+def test_new_words_go_on_from_what_they_share(model, library, monkeypatch):
+    follow, steps = bpe.follow, []
+    monkeypatch.setattr(bpe, "follow", lambda state, data, last: steps.append(len(data)) or follow(state, data, last))
+    rng = random.Random(8)
+    words = {" " + "".join(rng.choice(["the", "er", "ion", "sch", "on", "qu"]) for _ in range(5)) for _ in range(3000)}
+    texts = ["".join(rng.sample(sorted(words), 60)) for _ in range(200)]
+    assert list(bpe.encode_all(model, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(steps) < sum(map(len, words)) / 2
+
+
+def test_full_tables(library, monkeypatch):
+    for name, size in (("CACHED", 50), ("ANSWERS", 20), ("MOVES", 10), ("GROUP", 300), ("CHUNK", 500)):
+        monkeypatch.setattr(bpe, name, size)
+    model, texts = bpe.Model(queries.vocabulary()), odd_texts(random.Random(9), 200)
+    for text, ids in zip(texts, bpe.encode_all(model, texts), strict=True):
+        assert ids == library.encode(text or "", add_special_tokens=False).ids
+        assert bpe.decode(model, ids) == (text or "")
+        assert model.answers <= 20 and model.root.kept[0] <= 10 and len(model.words) < 50
+    assert sum(map(len, model.afters.values())) <= 20
+
+
 def test_pairs_of_tokens_against_the_merges(model):
     rng = random.Random(4)
     short = [t for t in model.made if len(model.bytes_of[t]) <= 3] + model.single

@@ -72,9 +72,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Model:
-    """Vocabulary and merges of a tokenizers file, given by its path or as its bytes."""
+    """Vocabulary and merges of a tokenizers file, given by its path or as its bytes; share: the tables hold that part of what they may."""
 
-    def __init__(self, source: str | bytes):
+    def __init__(self, source: str | bytes, share: float = 1):
+        self.cached, self.most_answers, self.group = int(CACHED * share), int(ANSWERS * share), int(GROUP * share)
         data = json.loads(source if isinstance(source, bytes) else content(source))
         letters, vocabulary = byte_letters(), data["model"]["vocab"]
         as_bytes = str.maketrans({c: chr(b) for c, b in letters.items()})
@@ -231,7 +232,7 @@ class Words(dict):
         return stream.feed(word.encode("utf-8", "surrogatepass")) + stream.finish()
 
     def shrink(self) -> None:
-        if len(self) >= CACHED:
+        if len(self) >= self.model.cached:
             self.old = dict(self)
             self.clear()
 
@@ -271,7 +272,7 @@ class After(dict):
 
     def __missing__(self, token: int) -> After | None:
         model = self.model
-        if model.answers >= ANSWERS:
+        if model.answers >= model.most_answers:
             model.answers = 0
             for row in model.afters.values():
                 row.clear()
@@ -524,7 +525,7 @@ def encode_all(model: Model, texts: Iterable[str | None]) -> Iterator[list[int]]
     for text in texts:
         text = text or ""
         alone = len(text) > CHUNK or any(s in text for s in model.special)
-        if alone or size + len(text) > GROUP:
+        if alone or size + len(text) > model.group:
             yield from model.all_ids(waiting)
             waiting, size = [], 0
         if alone:
@@ -545,7 +546,7 @@ def round_trip(documents: DataFrame, vocabulary: str, with_ids: bool = False, ke
     shipped = documents.sparkSession.sparkContext.broadcast(content(vocabulary))
 
     def make():
-        model = Model(shipped.value)
+        model = Model(shipped.value, 1 / 6 if with_ids else 1)  # rows with ids are long, and in the pipeline executors have little memory left
 
         def rows(doc_ids, texts, *rest):
             for doc_id, ids, *kept in zip(doc_ids, encode_all(model, texts), *rest):

@@ -72,10 +72,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Model:
-    """Vocabulary and merges of a tokenizers file, given by its path or as its bytes; share: the tables hold that part of what they may."""
+    """Vocabulary and merges of a tokenizers file, given by its path or as its bytes; share: the memo holds that part of its words, and of texts looked up together."""
 
     def __init__(self, source: str | bytes, share: float = 1):
-        self.cached, self.most_answers, self.group = int(CACHED * share), int(ANSWERS * share), int(GROUP * share)
+        self.cached, self.group = int(CACHED * share), int(GROUP * share)
         data = json.loads(source if isinstance(source, bytes) else content(source))
         letters, vocabulary = byte_letters(), data["model"]["vocab"]
         as_bytes = str.maketrans({c: chr(b) for c, b in letters.items()})
@@ -272,7 +272,7 @@ class After(dict):
 
     def __missing__(self, token: int) -> After | None:
         model = self.model
-        if model.answers >= model.most_answers:
+        if model.answers >= ANSWERS:
             model.answers = 0
             for row in model.afters.values():
                 row.clear()
